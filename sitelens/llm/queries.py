@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import log_sketch, near_duplicates
+from sitelens.llm import log_sketch, mojibake, near_duplicates, residue
 from sitelens.session import table
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -33,7 +33,28 @@ def p4_merged_days(spark: SparkSession, d: str) -> DataFrame:
     return log_sketch.percentiles(log_sketch.merge(keys, daily), keys, QUANTILES)
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p4_percentiles": p4_percentiles, "p4_merged_days": p4_merged_days}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_fields(table(spark, d, "pages"))
+
+
+def p5_real_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and descriptions that are no residue."""
+    return residue.real_texts(table(spark, d, "pages"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_fields(table(spark, d, "pages"))
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled fields with their original text, null where it is lost."""
+    return mojibake.restored_fields(table(spark, d, "pages"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_classes": p3_classes, "p4_percentiles": p4_percentiles, "p4_merged_days": p4_merged_days,
+    "p5_found": p5_found, "p5_real_texts": p5_real_texts, "p6_found": p6_found, "p6_restored": p6_restored,
+}
 
 _P3 = """
 with p as (select distinct id, audit_id, title, meta_description from pages
