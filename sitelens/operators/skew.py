@@ -113,6 +113,8 @@ def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], salts: int = 16,
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns if not _is_map(fact, c)]), F.lit(salts)).cast("int")
     left = fact.withColumn("__salt", spread)
     right = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Sizes are estimated before the rows are repeated, so a broadcast is ruled out here.
+    right = right.hint("merge")
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
