@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import log_sketch, mojibake, near_duplicates, residue
+from sitelens.llm import log_sketch, mojibake, near_duplicates, packing, residue, spam, tokens
 from sitelens.session import table
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -51,9 +51,28 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored_fields(table(spark, d, "pages"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return tokens.decode(tokens.encode(table(spark, d, "documents")))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a container of 2,048 tokens."""
+    return packing.pack(tokens.token_counts(table(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_documents(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_classes": p3_classes, "p4_percentiles": p4_percentiles, "p4_merged_days": p4_merged_days,
     "p5_found": p5_found, "p5_real_texts": p5_real_texts, "p6_found": p6_found, "p6_restored": p6_restored,
+    "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p9_found": p9_found,
 }
 
 _P3 = """
@@ -90,4 +109,5 @@ SQL = {
         left join cls o on o.id = bi.ib and o.class_id <> c.class_id group by all""",
     "p4_percentiles": _P4,
     "p4_merged_days": _P4,
+    "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }
