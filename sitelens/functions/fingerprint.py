@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,16 @@ def bands(value: Column, parts: int) -> Column:
         F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(value, i * width).bitwiseAND(F.lit((1 << width) - 1 if (i + 1) * width <= 32 else (1 << (32 - i * width)) - 1)).alias("bits"))
         for i in range(parts)
     ])
+
+
+def sim_hash_table(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, sim_hash) for large tables: words are counted per key, and 32 sums are added up map-side.
+
+    Same values as ``sim_hash``; rows whose text is null or has no words are left out.
+    """
+    words = df.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("w")).where("w <> ''").select(key, F.crc32("w").alias("h"))
+    bits = words.groupBy(key).agg(*[F.sum(F.when(F.getbit("h", F.lit(i)) == 1, 1).otherwise(-1)).alias(f"b{i}") for i in range(32)])
+    low = F.lit(0).cast("long")
+    for i in range(32):
+        low = low + F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    return bits.select(key, F.shiftleft(low, 32).bitwiseOR(low).alias("sim_hash"))

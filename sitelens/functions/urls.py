@@ -122,3 +122,25 @@ def canonical_url(url: Column, tracking: tuple[str, ...] = TRACKING_PARAMS, pref
 def sitemap_key(url: Column) -> Column:
     """Fragment and trailing slashes removed: the key under which pages and sitemap entries meet."""
     return F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/+$", "")
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """The absolute URL of a reference (RFC 3986, section 5.2); null where either is no URL of allowed characters."""
+    r = F.trim(ref)
+    scheme, authority, path, query = part(r, 1), part(r, 2), part(r, 3), part(r, 4)
+    b_path = part(base, 3)
+    root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    question = F.when(r.rlike(r"^[^#]*\?"), F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+    tail = F.when(r.contains("#"), F.concat(F.lit("#"), part(r, 5))).otherwise(F.lit(""))
+    folder = F.regexp_extract(b_path, "^(.*/)", 1)
+    merged = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
+    base_question = F.when(base.rlike(r"^[^#]*\?"), F.concat(F.lit("?"), part(base, 4))).otherwise(F.lit(""))
+    out = (
+        F.when(scheme != "", F.concat(scheme, F.lit(":"), F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(F.lit("")), remove_dot_segments(path), question))
+        .when(r.startswith("//"), F.concat(part(base, 1), F.lit("://"), authority, remove_dot_segments(path), question))
+        .when(path == "", F.concat(root, b_path, F.when(question != "", question).otherwise(base_question)))
+        .when(path.startswith("/"), F.concat(root, remove_dot_segments(path), question))
+        .otherwise(F.concat(root, remove_dot_segments(merged), question))
+    )
+    allowed = r.rlike(STRICT) & ~r.rlike("%(?![0-9A-Fa-f]{2})") & is_strict(base)
+    return F.when(allowed, F.concat(out, tail))
