@@ -275,11 +275,13 @@ def restore(text: str, known: dict[str, tuple[str | None, int]]) -> str | None:
     if "\ufffd" in text:
         return None
     left = lambda t: any(w in known for w in pieces(t))
+    sure = [(w, o) for w, (o, _) in known.items() if o is not None]
     chains = [CHAINS[i] for i in sorted({c for _, c in known.values() if c >= 0})]
-    for chain in chains:
-        now = _read_back(text, chain)
-        if now is not None and not left(now):
-            return now
+    # Several encodings give the same form of most words; the reading with the fewest symbols is taken.
+    alike = [ch for ch in CHAINS if sure and all(garble(o, ch) == w for w, o in sure)]
+    whole = [now for ch in dict.fromkeys(chains + alike) if (now := _read_back(text, ch)) is not None and not left(now)]
+    if whole:
+        return min(whole, key=lambda t: sum(not c.isascii() and not c.isalnum() for c in t))
     out = text
     for w, (original, _) in sorted(known.items(), key=lambda x: -len(x[0])):
         if original is not None:

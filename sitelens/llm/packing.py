@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sitelens.session import materialize
 
-CAPACITY, WINDOWS, DEPTH = 2048, 64, 4
+CAPACITY, WINDOWS, DEPTH = 2048, 128, 3
 #: Slices in which items of one length are numbered independently.
 SALTS = 128
 
@@ -51,32 +51,34 @@ def combinations(windows: int, depth: int) -> np.ndarray:
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     """Non-negative x that minimises |a x - b|, by growing and shrinking the set of active columns."""
-    n = a.shape[1]
+    n, gram, rhs = a.shape[1], a.T @ a, a.T @ b
     x, active = np.zeros(n), np.zeros(n, dtype=bool)
+    least = tolerance * max(1.0, float(np.abs(rhs).max(initial=0)))
     for _ in range(3 * a.shape[0] + 10):
-        gain = a.T @ (b - a @ x)
+        gain = rhs - gram @ x
         gain[active] = -np.inf
         j = int(np.argmax(gain))
-        if gain[j] <= tolerance * max(1.0, float(np.abs(b).max(initial=0))):
+        if gain[j] <= least:
             break
         active[j] = True
-        while True:
+        while active.any():
             cols = np.flatnonzero(active)
             s = np.zeros(n)
-            s[cols] = np.linalg.lstsq(a[:, cols], b, rcond=None)[0]
+            try:
+                s[cols] = np.linalg.solve(gram[np.ix_(cols, cols)], rhs[cols])
+            except np.linalg.LinAlgError:
+                s[cols] = np.linalg.lstsq(a[:, cols], b, rcond=None)[0]
             low = active & (s <= tolerance)
             if not low.any():
                 x = s
                 break
             step = np.min(x[low] / np.maximum(x[low] - s[low], 1e-300))
             x = np.where(active, x + step * (s - x), 0)
-            x[active & (x <= tolerance)] = 0
-            shrunk = active & (x > 0)
+            shrunk = active & (x > tolerance)
             if (shrunk == active).all():
                 shrunk[np.flatnonzero(low)[0]] = False
+            x = np.where(shrunk, x, 0)
             active = shrunk
-            if not active.any():
-                break
     return x
 
 
