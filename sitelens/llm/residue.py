@@ -141,7 +141,7 @@ OPENERS = [
 ]
 
 #: Words of a text that explains templates, code or type specimens.
-_TUTORIAL = r"(?iu)\b(?:tutorial|explained|syntax|placeholders?|in css|in html|in php|in liquid|jinja|handlebars|mustache|cheat ?sheet|variables?|escap(?:e|ing)|specimens?|snippet|coding|lesson|course|developers?)\b"
+_TUTORIAL = r"\b(?:tutorial|explained|syntax|placeholders?|in css|in html|in php|in liquid|jinja|handlebars|mustache|cheat ?sheet|variables?|escap(?:e|ing)|specimens?|snippet|coding|lesson|course|developers?)\b"
 # Words of the customary pseudo-Latin filler text.
 LOREM_WORDS = (
     "lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "elit", "eiusmod", "tempor", "incididunt", "labore", "dolore",
@@ -157,10 +157,10 @@ def _any(patterns: list[str]) -> str:
 
 
 _LATIN = "(?:" + "|".join(LOREM_WORDS) + ")"
-_RUN = r"(?iu)\b" + _LATIN + r"(?:[\s,.]+(?:" + "|".join((*LOREM_WORDS, *_LOREM_SMALL)) + r")\b){3,}"
-_PLACEHOLDER = "(?iu)" + _any(PLACEHOLDERS)
-_WHOLE = "(?iu)^\\W{0,2}(?:" + _any(WHOLE) + r")\s*(?:[|·–—\-:]\s*[^|·–—]{1,60})?\W{0,3}$"
-_START = r"(?iu)(?:^|[.!?…]\s+|[|·–—:]\s)\W{0,3}(?:"
+_RUN = r"\b" + _LATIN + r"(?:[\s,.]+(?:" + "|".join((*LOREM_WORDS, *_LOREM_SMALL)) + r")\b){3,}"
+_PLACEHOLDER = _any(PLACEHOLDERS)
+_WHOLE = "^\\W{0,2}(?:" + _any(WHOLE) + r")\s*(?:[|·–—\-:]\s*[^|·–—]{1,60})?\W{0,3}$"
+_START = r"(?:^|[.!?…]\s+|[|·–—:]\s)\W{0,3}(?:"
 
 
 def _let(value: Column, body) -> Column:
@@ -169,17 +169,24 @@ def _let(value: Column, body) -> Column:
 
 
 def readable(text: Column) -> Column:
-    """Character entities of markup resolved, invisible characters dropped, white space collapsed."""
-    t = F.regexp_replace(text, "[\\u200B-\\u200D\\u2060\\uFEFF\\u00AD]", "")
-    for entity, char in (
+    """Character entities of markup resolved, invisible characters dropped, white space collapsed, in lower case."""
+    entities = (
         ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "),
         ("&#123;", "{"), ("&#125;", "}"), ("&#37;", "%"), ("&amp;", "&"),
-    ):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    )
+
+    def resolved(t: Column) -> Column:
+        out = t
+        for entity, char in entities:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(F.instr(t, "&") > 0, out).otherwise(t)
+
+    shown = _let(F.lower(F.regexp_replace(text, "[\\u200B-\\u200D\\u2060\\uFEFF\\u00AD]", "")), resolved)
+    return F.trim(F.regexp_replace(shown, r"(?U)\s+", " "))
 
 
 def _judge(prose: Column) -> Column:
+    """Whether a field in lower case, made readable, is residue."""
     suspicious = prose.rlike(r"[{}<>\[\]%$_@]")
     rest = F.when(suspicious, F.regexp_replace(prose, _PLACEHOLDER, "")).otherwise(prose)
 
@@ -188,22 +195,23 @@ def _judge(prose: Column) -> Column:
         return (cut > 0) & ~((cut < 0.5 * F.length(prose)) & r.rlike(_TUTORIAL))
 
     def filler(words: Column) -> Column:
+        some = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in LOREM_WORDS]))) >= 2
         latin = F.size(F.filter(words, lambda w: w.isin(*LOREM_WORDS)))
         small = F.size(F.filter(words, lambda w: w.isin(*_LOREM_SMALL)))
         most = (latin >= 4) & (latin + small >= 0.6 * F.size(words))
-        return most | ((latin >= 3) & (latin + small >= 0.9 * F.size(words))) | ((latin >= 4) & prose.rlike(_RUN))
+        return some & (most | ((latin >= 3) & (latin + small >= 0.9 * F.size(words))) | ((latin >= 4) & prose.rlike(_RUN)))
 
     message = F.lit(False)
     for i in range(0, len(OPENERS), 20):
         message = message | prose.rlike(_START + _any(OPENERS[i : i + 20]) + ")")
-    words = F.filter(F.split(F.lower(prose), r"[^\p{L}]+"), lambda w: w != "")
+    words = F.filter(F.split(prose, r"[^\p{L}]+"), lambda w: w != "")
     return (suspicious & _let(rest, placeholder)) | prose.rlike(_WHOLE) | _let(words, filler) | message
 
 
 def is_residue(text: Column) -> Column:
     """Whether the field shows a template, filler, error or script notice; false for null and blank."""
-    prose = F.regexp_replace(readable(text), r"(?is)`[^`]*`|<(code|pre)[^>]*>.*?</\1>", " ")
-    return F.coalesce(_let(prose, lambda p: (p != "") & _judge(p)), F.lit(False))
+    code = lambda t: F.when(t.rlike("[`<]"), F.regexp_replace(t, r"(?s)`[^`]*`|<(code|pre)[^>]*>.*?</\1>", " ")).otherwise(t)
+    return F.coalesce(_let(_let(readable(text), code), lambda p: (p != "") & _judge(p)), F.lit(False))
 
 
 def residue_fields(pages: DataFrame) -> DataFrame:
