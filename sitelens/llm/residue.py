@@ -45,14 +45,14 @@ PLACEHOLDERS = [
 WHOLE = [
     r"(?:page|meta|seo|site|og|product|category)?_?(?:title|description|desc|headline|name)_(?:tag|text|here|placeholder|value|key)(?:_?\d+)?",
     r"</?[a-z][a-z0-9]*\s*/?>",
-    r"(?:x{3,}\W*)+",
-    r"(?:(?:asdf|qwerty|qwertz|azerty|foo|bar|baz|blah|bla)\w{0,4}\W*){2,}",
-    r"(?:test\W*){2,}\d*",
-    r"(?:([a-z])\1{2,}\W+){2,}(?:[a-z])*",
-    r"(?:(?:undefined|null|nan|none|n/a|\[object object\])\W*)+",
+    r"(?:x{3,}+\W{0,3}){1,300}",
+    r"(?:(?:asdf|qwerty|qwertz|azerty|foo|bar|baz|blah|bla)\w{0,4}+\W{0,3}){2,300}",
+    r"(?:test\W{0,3}){2,300}\d*",
+    r"(?:([a-z])\1{2,}+\W++){2,300}[a-z]*",
+    r"(?:(?:undefined|null|nan|none|n/a|\[object object\])\W{0,3}){1,300}",
     r"[(\[]?(?:no|ohne|sans|sin|sem|brak|без) ?(?:title|titel|titre|t[ií]tulo|tytu[łl]u|заголовка|name|description|beschreibung)[)\]]?",
     r"(?:loading|laden|chargement|cargando|carregando|ładowanie|загрузка|読み込み中)\W*",
-    r"(?:copy of )*(?:untitled|unbenannt|sans titre|sin t[ií]tulo|sem t[ií]tulo|без названия|無題)(?: (?:document|page|dokument|seite|\d+))*",
+    r"(?:copy of ){0,6}(?:untitled|unbenannt|sans titre|sin t[ií]tulo|sem t[ií]tulo|без названия|無題)(?: (?:document|page|dokument|seite|\d+)){0,6}",
     r"(?:copy of )+.{0,40}\d*",
     r"(?:new|sample|blank|default|test|example|neue|nouvelle|nueva|nova|nowa|новая) (?:page|seite|página|pagina|strona|страница|post|document|title)(?: \d+)?",
     r"(?:dummy|sample|filler|placeholder|example|default) (?:headline|heading|text|title|content|copy|description)(?: \d+)?",
@@ -65,11 +65,11 @@ WHOLE = [
 OPENERS = [
     # filler and default texts
     r"lorem ipsum",
-    r"(?:insert|enter|add|write|type|put|provide|describe) (?:(?:your|a|an|the|our|this|short|brief|new|page|meta|seo|site) ?)*(?:title|headline|description|summary|text|content|name|page)\b.{0,60}(?:here|characters\)?|sentences|page here|below)",
-    r"(?:your |the |page |meta |seo )*(?:title|headline|description|desc|summary|text|tagline|content) (?:goes |comes |to go |will be )?here",
+    r"(?:insert|enter|add|write|type|put|provide|describe) (?:(?:your|a|an|the|our|this|short|brief|new|page|meta|seo|site) ?){0,6}(?:title|headline|description|summary|text|content|name|page)\b.{0,60}(?:here|characters\)?|sentences|page here|below)",
+    r"(?:your |the |page |meta |seo ){0,6}(?:title|headline|description|desc|summary|text|tagline|content) (?:goes |comes |to go |will be )?here",
     r"(?:dies|das|hier) ist (?:ein|nur ein|der) (?:blindtext|platzhalter|beispieltext|mustertext|dummytext)",
     r"(?:ceci est|esto es|este es|isto é|este é|to jest|это) (?:un |um |nur )?(?:texte (?:factice|d'exemple|de remplissage)|texto de (?:ejemplo|relleno|prueba|exemplo|preenchimento)|tekst (?:zastępczy|przykładowy)|(?:пример|тестовый) текст)",
-    r"this is (?:a |an |just |some )*(?:dummy|sample|placeholder|filler|example|default) (?:text|page|description|content|title)",
+    r"this is (?:a |an |just |some ){0,6}(?:dummy|sample|placeholder|filler|example|default) (?:text|page|description|content|title)",
     r"todo\b:? ?(?:seo|write|add|title|description|text|meta|insert|fill)",
     r"(?:n/a|tbd|tba|tbc)\b\W{0,3}(?:to be|$)",
     r"(?:another|just another|a) (?:new )?(?:site|blog|website|shop) (?:powered|built|made) (?:by|with)",
@@ -87,12 +87,12 @@ OPENERS = [
     r"(?:введите|вставьте|добавьте) (?:здесь )?(?:заголовок|название|описание|текст)",
     r"(?:ここに|こちらに).{0,10}(?:タイトル|説明|テキスト|文章)",
     # errors of servers, frameworks and the site
-    r"(?:http |error |erreur |fehler |err[:.]? |status |code )*(?:0x[0-9a-f]+|[1-9]\d{2,3})\W{0,4}(?:\(?(?:page |file )?not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|internal server error|service (?:temporarily )?unavailable|too many requests|method not allowed|not acceptable|conflict|gone|payment required)\b",
+    r"(?:http |error |erreur |fehler |err[:.]? |status |code ){0,4}(?:0x[0-9a-f]+|[1-9]\d{2,3})\W{0,4}(?:\(?(?:page |file )?not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|internal server error|service (?:temporarily )?unavailable|too many requests|method not allowed|not acceptable|conflict|gone|payment required)\b",
     r"(?:http )?(?:error|status|code)(?: code)? (?:0x[0-9a-f]+|\d{3,4})\b\W{0,4}(?:$|[(:–—-]? ?\(?(?:not found|request blocked|forbidden|access denied|server error|bad|the request|this page))",
     r"(?:too many requests|internal server error|bad gateway|gateway time-?out|service unavailable|request blocked|access (?:is )?denied|permission denied|forbidden|connection refused)\b\W*(?:\(?\d*\)?\W*)?(?:$|\|)",
     r"(?:the )?(?:requested )?(?:page|url|file|resource)(?: you (?:requested|are looking for|were looking for))? (?:not found|could not be found|can ?not be found|can[’']t be found|was not found|does not exist|doesn[’']t exist|no longer exists)",
     r"(?:oops|whoops|uh oh|sorry)\b\W{0,3}.{0,40}(?:can[’']t be found|not found|went wrong|error (?:has )?occurred|wrong page)",
-    r"(?:an |a |sorry, an |unexpected |unknown )*(?:error|exception|problem) (?:has )?occurred",
+    r"(?:an |a |sorry, an |unexpected |unknown ){0,6}(?:error|exception|problem) (?:has )?occurred",
     r"something went wrong",
     r"error establishing a database connection",
     r"(?:php )?(?:fatal|parse|syntax|runtime|application|server|database|critical) error\b\W",
@@ -101,7 +101,7 @@ OPENERS = [
     r"uncaught (?:type|reference|syntax|range|exception)?\w*",
     r"(?:err|error)\b\W{1,3}(?:template|module|file|theme|plugin|view|include)\b.{0,40}(?:could not|cannot|failed|missing|not)",
     r"traceback \(most recent call last\)",
-    r"(?:java|javax|org|com|system|kotlin)(?:\.\w+)+(?:exception|error)\b",
+    r"(?:java|javax|org|com|system|kotlin)(?:\.\w{1,60}){1,12}(?:exception|error)\b",
     r"sqlstate\[",
     r"stack ?trace\b\W",
     r"session (?:has )?(?:expired|timed out)",
@@ -122,8 +122,8 @@ OPENERS = [
     r"(?:accès refusé|zugriff verweigert|acceso denegado|acesso negado|odmowa dostępu|brak dostępu)\W*(?:$|\|)",
     r"(?:interner serverfehler|erreur interne|error interno|erro interno|błąd serwera|erreur \d{3}|fehler \d{3}|błąd \d{3})\b",
     # scripts and browser checks
-    r"(?:please |you (?:need|have) to |you must )*(?:enable|activate|turn on|allow) (?:java ?script|cookies|scripts)\b",
-    r"java ?script (?:is |must be |has to be )*(?:required|disabled|not enabled|deactivated|turned off|enabled to)\b",
+    r"(?:please |you (?:need|have) to |you must ){0,6}(?:enable|activate|turn on|allow) (?:java ?script|cookies|scripts)\b",
+    r"java ?script (?:is |must be |has to be ){0,6}(?:required|disabled|not enabled|deactivated|turned off|enabled to)\b",
     r"(?:this|our|the) (?:site|page|app|application|website|shop|store|content) (?:requires?|needs?|works? best with|cannot run without) (?:java ?script|cookies|scripts)",
     r"(?:we[’']re |we are )?sorry,? but .{1,60}(?:without|requires?) (?:java ?script|scripts)",
     r"your browser (?:does not|doesn[’']t|is|must|has)\b.{0,80}(?:java ?script|supported|cookies|outdated|disabled|support)",
@@ -157,7 +157,7 @@ def _any(patterns: list[str]) -> str:
 
 
 _LATIN = "(?:" + "|".join(LOREM_WORDS) + ")"
-_RUN = r"\b" + _LATIN + r"(?:[\s,.]+(?:" + "|".join((*LOREM_WORDS, *_LOREM_SMALL)) + r")\b){3,}"
+_RUN = r"\b" + _LATIN + r"(?:[\s,.]+(?:" + "|".join((*LOREM_WORDS, *_LOREM_SMALL)) + r")\b){3,8}"
 _PLACEHOLDER = _any(PLACEHOLDERS)
 _WHOLE = "^\\W{0,2}(?:" + _any(WHOLE) + r")\s*(?:[|·–—\-:]\s*[^|·–—]{1,60})?\W{0,3}$"
 _START = r"(?:^|[.!?…]\s+|[|·–—:]\s)\W{0,3}(?:"

@@ -28,7 +28,7 @@ DIRECTION = (-1, -1, 1, 1, -1, 1, 1, 1)
 _HIDDEN = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 _WORD = re.compile(r"[一-鿿々]+|[ぁ-ゟ]+|[ァ-ヿー]+|[^\W_ぁ-ヿ一-鿿々]+")
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\]>,\"']+", re.I)
-_MDLINK = re.compile(r"\[[^\]\n]{0,200}\]\([^)\n]*\)|<a\s[^>]*>.*?</a>", re.I | re.S)
+_MDLINK = re.compile(r"\[[^\]\n]{0,200}\]\([^)\n]*\)|<a\s[^>]{0,2000}>.{0,1000}?</a>", re.I | re.S)
 _TAG = re.compile(r"#[^\s#]{2,}")
 _MARKUP = re.compile(r"<[a-z/!][^>]*>", re.I)
 #: Lines of logs, rule files, code and specifications: they serve a reader though they are no sentences.

@@ -33,3 +33,10 @@ def test_fields_of_pages(spark):
     assert sorted(map(tuple, residue_fields(df).collect())) == [("1", "meta_description"), ("1", "title")]
     assert [tuple(r) for r in real_texts(df).collect()] == [("2", "Real", None)]
     assert residue_fields(df.limit(0)).count() == 0
+
+
+def test_very_long_fields(spark):
+    long = ["lorem ipsum dolor amet " * 20000, "xxx " * 30000 + "y", "x" * 50000 + "y", "asdf" * 20000 + "!y", "com." + "a." * 40000, "null " * 30000 + "end", "a b " * 40000, "{{" * 30000, "<code>" * 5000, "Error " * 30000, "Kettle. " * 30000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", is_residue(F.col("t")).alias("r")).collect()}
+    assert got[0] and not got[2] and not got[6] and not got[10]
