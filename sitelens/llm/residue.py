@@ -31,12 +31,12 @@ PLACEHOLDERS = [
     r"<%.{0,160}?%>",
     r"<\?(?:php|=).{0,160}?(?:\?>|$)",
     r"\[\[[^\[\]]{1,120}\]\]",
-    rf"\[(?:{_FIELD}|(?:insert|your|enter)[^\[\]]{{1,40}}|[a-z]+(?:_[a-z]+)+)\]",
+    rf"\[(?:{_FIELD}|(?:insert|your|enter)[^\[\]]{{1,40}}|[a-z]+(?:_[a-z]+){{1,12}})\]",
     rf"(?<!\w)<{_FIELD}>(?!\w)",
     r"%%\w{1,60}%%",
     r"(?<![\w%])%[a-z_]{2,40}%(?![\w%])",
     r"(?<![\w%])%(?:\d\$)?[sd](?![\w%])",
-    r"(?<!\w)__[a-z0-9]+(?:_[a-z0-9]+)*__(?!\w)",
+    r"(?<!\w)__[a-z0-9]+(?:_[a-z0-9]+){0,12}__(?!\w)",
     r"(?<![\w$])\$[a-z_]+\$(?![\w$])",
     r"(?<!\S)@(?:model|viewbag|viewdata|html|page|site|item)\.\w+",
 ]
@@ -53,7 +53,7 @@ WHOLE = [
     r"[(\[]?(?:no|ohne|sans|sin|sem|brak|без) ?(?:title|titel|titre|t[ií]tulo|tytu[łl]u|заголовка|name|description|beschreibung)[)\]]?",
     r"(?:loading|laden|chargement|cargando|carregando|ładowanie|загрузка|読み込み中)\W*",
     r"(?:copy of ){0,6}(?:untitled|unbenannt|sans titre|sin t[ií]tulo|sem t[ií]tulo|без названия|無題)(?: (?:document|page|dokument|seite|\d+)){0,6}",
-    r"(?:copy of )+.{0,40}\d*",
+    r"(?:copy of ){1,6}.{0,40}\d*",
     r"(?:new|sample|blank|default|test|example|neue|nouvelle|nueva|nova|nowa|новая) (?:page|seite|página|pagina|strona|страница|post|document|title)(?: \d+)?",
     r"(?:dummy|sample|filler|placeholder|example|default) (?:headline|heading|text|title|content|copy|description)(?: \d+)?",
     r"(?:blindtext|fülltext|beispieltext|platzhaltertext|platzhalter)(?: [\p{L}]+)?(?: \d+)?",
