@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import site_rules
 from sitelens.operators.page_rules import FACTS, LANGUAGE_CODES, page_issues, page_rules
+from sitelens.session import table
 from sitelens.sources import relations
 
 
@@ -97,9 +98,13 @@ COUNTS = {
 }
 
 
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("id", "audit_id", *FACTS)
+
+
 def _rule(code: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = page_issues(relations.pages(spark, d, *FACTS), [code])
+        found = page_issues(_facts(spark, d), [code], repeated=True)
         return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_issues"))
 
     run.__doc__ = f"Issues of rule {code} by page."
@@ -108,7 +113,7 @@ def _rule(code: str):
 
 def rules_all(spark: SparkSession, d: str) -> DataFrame:
     """Issues of all page rules in one pass: (code, category, severity, weight, n_issues, n_pages)."""
-    found = page_issues(relations.pages(spark, d, *FACTS)).groupBy("code").agg(
+    found = page_issues(_facts(spark, d), repeated=True).groupBy("code").agg(
         F.count(F.lit(1)).alias("n_issues"), F.countDistinct("page_id").alias("n_pages")
     )
     return relations.catalog(spark, d).join(found, "code").select("code", "category", "severity", "weight", "n_issues", "n_pages")
