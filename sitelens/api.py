@@ -27,7 +27,7 @@ class Audits:
 
     def _pages(self, audit_id: str, *columns: str) -> DataFrame:
         self._known(audit_id)
-        return relations.pages(self.spark, self.path, *columns).where(c("audit_id") == audit_id)
+        return relations.pages(self.spark, self.path, *columns, where=c("audit_id") == audit_id)
 
     def history(self, limit: int = 100) -> DataFrame:
         return relations.audits(self.spark, self.path).orderBy(c("created_at").desc(), "id").limit(limit)

@@ -38,7 +38,7 @@ def previous_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    codes = relations.issues(spark, d).groupBy(c("page_id").alias("id")).agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    codes = relations.issues(spark, d, "page_id", "code").groupBy(c("page_id").alias("id")).agg(F.array_sort(F.collect_list("code")).alias("codes"))
     p = relations.pages(spark, d, "url", "crawled_at", "sim_hash").join(codes, "id", "left")
     return p.withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
 

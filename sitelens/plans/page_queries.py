@@ -55,19 +55,28 @@ _TAB_SQL = {
 }
 
 
+def wanted(tab_name: str = "all", search: str | None = None, since=None) -> Column:
+    """Predicate of a tab narrowed by a search and a time."""
+    out = tab(tab_name)
+    if search:
+        q = f"%{search.lower()}%"
+        out = out & (ascii_lower(c("url")).like(q) | ascii_lower(F.coalesce("title", F.lit(""))).like(q))
+    if since is not None:
+        out = out & (c("crawled_at") > F.lit(since).cast("timestamp"))
+    return out
+
+
+def listed_indexable() -> Column:
+    return F.coalesce(c("status_code").between(200, 299) & ~c("noindex") & (c("canonical_status") != "other"), F.lit(False))
+
+
 def page_list(pages: DataFrame, tab_name: str = "all", search: str | None = None, since=None) -> DataFrame:
     """Rows of the page list with ``is_indexable``; search and since narrow the tab.
 
     In a search ``%`` and ``_`` are wildcards and case is ignored for A-Z; a null
     title counts as empty.  ``since`` keeps rows crawled strictly later.
     """
-    out = pages.where(tab(tab_name))
-    if search:
-        q = f"%{search.lower()}%"
-        out = out.where(ascii_lower(c("url")).like(q) | ascii_lower(F.coalesce("title", F.lit(""))).like(q))
-    if since is not None:
-        out = out.where(c("crawled_at") > F.lit(since).cast("timestamp"))
-    return out.withColumn("is_indexable", F.coalesce(c("status_code").between(200, 299) & ~c("noindex") & (c("canonical_status") != "other"), F.lit(False)))
+    return pages.where(wanted(tab_name, search, since)).withColumn("is_indexable", listed_indexable())
 
 
 def sorted_pages(pages: DataFrame, sort: str = "crawledAt", direction: str = "asc", limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -75,15 +84,11 @@ def sorted_pages(pages: DataFrame, sort: str = "crawledAt", direction: str = "as
 
     Without a limit the offset is ignored; a negative offset counts as 0.
     """
-    key = F.expr(SORTS.get(sort, "crawled_at"))
+    key = F.expr(SORTS.get(sort, SORTS["crawledAt"]))
     out = pages.orderBy(key.desc_nulls_last() if direction == "desc" else key.asc_nulls_first(), c("id").asc())
     return out if limit is None else out.offset(max(0, offset)).limit(limit)
 
 
-def _pages(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return relations.pages(spark, d, *SUMMARY, *more)
-
-
 def scan_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages with their number in crawl order within the audit."""
     w = Window.partitionBy("audit_id").orderBy("crawled_at", "id")
@@ -91,7 +96,7 @@ def scan_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages_since(spark: SparkSession, d: str) -> DataFrame:
-    return page_list(_pages(spark, d), since="2026-03-01 00:00:00").select("audit_id", "id", "url")
+    return relations.pages(spark, d, "url", where=wanted(since="2026-03-01 00:00:00")).select("audit_id", "id", "url")
 
 
 def page_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -106,14 +111,15 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 def _list_query(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return page_list(_pages(spark, d), name).select("audit_id", "id", "url", "status_code", "title", "is_indexable")
+        p = relations.pages(spark, d, "url", "status_code", "title", "noindex", "canonical_status", where=wanted(name))
+        return p.select("audit_id", "id", "url", "status_code", "title", listed_indexable().alias("is_indexable"))
 
     run.__doc__ = f"Rows of the tab {name}."
     return run
 
 
 def page_search(spark: SparkSession, d: str) -> DataFrame:
-    return page_list(_pages(spark, d), search="kettle").select("audit_id", "id", "url")
+    return relations.pages(spark, d, "url", where=wanted(search="kettle")).select("audit_id", "id", "url")
 
 
 def indexability(spark: SparkSession, d: str) -> DataFrame:
@@ -159,32 +165,34 @@ def page_by_url(spark: SparkSession, d: str) -> DataFrame:
 
 def tab_counts(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of pages per audit and tab, in one pass."""
-    return _pages(spark, d).groupBy("audit_id").agg(*[F.count_if(tab(t)).alias(f"n_{t}") for t in ("all", *_TAB_SQL)])
+    p = relations.pages(spark, d, "content_type", "status_code", "error_count", "warning_count", "noindex", "canonical_status")
+    return p.groupBy("audit_id").agg(*[F.count_if(tab(t)).alias(f"n_{t}") for t in ("all", *_TAB_SQL)])
 
 
 def page_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pages of each audit: all, and those a search finds among the errors."""
-    p = _pages(spark, d)
+    p = relations.pages(spark, d, "status_code", "url", "title")
     hit = tab("errors") & (ascii_lower(c("url")).like("%blog%") | ascii_lower(F.coalesce("title", F.lit(""))).like("%blog%"))
     return p.groupBy("audit_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("found"))
 
 
 def page_total(spark: SparkSession, d: str) -> DataFrame:
     """Totals beside a delta: the total leaves the delta's start out of account."""
-    p = _pages(spark, d)
+    p = relations.pages(spark, d, "crawled_at")
     return p.groupBy("audit_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(c("crawled_at") > F.lit("2026-03-01 00:00:00").cast("timestamp")).alias("delta"))
 
 
 def _sort_query(field: str, direction: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return sorted_pages(_pages(spark, d, "h1s"), field, direction, limit=100).select("id", "url")
+        need = ("h1s",) if field == "h1Count" else (SORTS[field],)
+        return sorted_pages(relations.pages(spark, d, "url", *[n for n in need if n != "url"]), field, direction, limit=100).select("id", "url")
 
     run.__doc__ = f"The first 100 pages by {field}, {direction}."
     return run
 
 
 def page_paged(spark: SparkSession, d: str) -> DataFrame:
-    return sorted_pages(_pages(spark, d), "responseTime", "desc", limit=50, offset=100).select("id", "url")
+    return sorted_pages(relations.pages(spark, d, "url", "response_time"), "responseTime", "desc", limit=50, offset=100).select("id", "url")
 
 
 def link_summary(spark: SparkSession, d: str) -> DataFrame:

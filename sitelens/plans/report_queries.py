@@ -23,7 +23,7 @@ def severity_rank(severity: Column) -> Column:
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
     """Page issues with their audit and URL, and site issues without a page."""
     p = relations.pages(spark, d, "url").select(c("id").alias("page_id"), "audit_id", "url")
-    bound = relations.issues(spark, d).join(p, "page_id")
+    bound = relations.issues(spark, d, "page_id", "category", "severity", "code", "context").join(p, "page_id")
     columns = ["audit_id", "page_id", "url", "category", "severity", "code", "context"]
     free = relations.site_issues(spark, d).withColumns({"page_id": F.lit(None).cast("string"), "url": F.lit(None).cast("string")})
     return bound.select(*columns).unionByName(free.select(*columns))
@@ -36,7 +36,7 @@ def issue_rows(spark: SparkSession, d: str) -> DataFrame:
 def issue_enriched(spark: SparkSession, d: str) -> DataFrame:
     """Issues with weight of their rule; an unknown code weighs 0."""
     weights = relations.catalog(spark, d).select("code", "weight")
-    i = relations.issues(spark, d).join(F.broadcast(weights), "code", "left")
+    i = relations.issues(spark, d, "page_id", "code").join(F.broadcast(weights), "code", "left")
     return i.select("id", "page_id", "code", F.coalesce("weight", F.lit(0)).alias("weight"))
 
 
@@ -89,13 +89,13 @@ def scores(pages: DataFrame, issues: DataFrame, catalog: DataFrame) -> DataFrame
 
 
 def page_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = scores(relations.pages(spark, d), relations.issues(spark, d), relations.catalog(spark, d))
+    s = scores(relations.pages(spark, d), relations.issues(spark, d, "page_id", "code"), relations.catalog(spark, d))
     return s.select("audit_id", "page_id", F.round("score", 6).alias("score"))
 
 
 def site_score(spark: SparkSession, d: str) -> DataFrame:
     """Rounded mean over all pages of an audit, clean ones included; audits without pages have 100."""
-    s = scores(relations.pages(spark, d), relations.issues(spark, d), relations.catalog(spark, d)).groupBy("audit_id").agg(F.avg("score").alias("m"))
+    s = scores(relations.pages(spark, d), relations.issues(spark, d, "page_id", "code"), relations.catalog(spark, d)).groupBy("audit_id").agg(F.avg("score").alias("m"))
     a = relations.audits(spark, d).select(c("id").alias("audit_id"))
     return a.join(s, "audit_id", "left").select("audit_id", F.coalesce(F.round("m"), F.lit(100.0)).cast("int").alias("score"))
 
@@ -133,28 +133,28 @@ def depth_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 def issue_breakdown(spark: SparkSession, d: str) -> DataFrame:
     """Page issues by category, by severity and in all, as grouping sets in one pass."""
-    return relations.issues(spark, d).groupingSets([["category"], ["severity"], []], "category", "severity").agg(
+    return relations.issues(spark, d, "category", "severity").groupingSets([["category"], ["severity"], []], "category", "severity").agg(
         F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n")
     )
 
 
 def issue_counts(spark: SparkSession, d: str) -> DataFrame:
     """Errors and warnings of every page, 0 for clean ones."""
-    n = relations.issues(spark, d).groupBy("page_id").agg(F.count_if(c("severity") == "error").alias("errors"), F.count_if(c("severity") == "warning").alias("warnings"))
+    n = relations.issues(spark, d, "page_id", "severity").groupBy("page_id").agg(F.count_if(c("severity") == "error").alias("errors"), F.count_if(c("severity") == "warning").alias("warnings"))
     p = relations.pages(spark, d).select("audit_id", c("id").alias("page_id"))
     return p.join(n, "page_id", "left").fillna(0, ["errors", "warnings"])
 
 
 def pages_with_issues(spark: SparkSession, d: str) -> DataFrame:
     """Every page with its issue codes in order, as joined text; pages without issues have an empty text."""
-    i = relations.issues(spark, d).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+    i = relations.issues(spark, d, "page_id", "code").groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
     p = relations.pages(spark, d).select("audit_id", c("id").alias("page_id"))
     return p.join(i, "page_id", "left").fillna("", ["codes"])
 
 
 def audit_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Counters of an audit recomputed from its rows; only errors and warnings count as issues found."""
-    n = relations.issues(spark, d).groupBy("page_id").agg(F.count_if(c("severity") == "error").alias("e"), F.count_if(c("severity") == "warning").alias("w"))
+    n = relations.issues(spark, d, "page_id", "severity").groupBy("page_id").agg(F.count_if(c("severity") == "error").alias("e"), F.count_if(c("severity") == "warning").alias("w"))
     p = relations.pages(spark, d, "status_code").select(c("id").alias("page_id"), "audit_id", "status_code").join(n, "page_id", "left")
     zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
     return p.groupBy("audit_id").agg(

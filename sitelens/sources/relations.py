@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.session import table
 
 
-def pages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Pages once per id, reduced to id, audit_id and the named columns (pruned at the scan)."""
+def _complex(df: DataFrame) -> bool:
+    return any(t.startswith(("map", "array", "struct")) for _, t in df.dtypes)
+
+
+def pages(spark: SparkSession, d: str, *columns: str, where: Column | None = None) -> DataFrame:
+    """Pages once per id, reduced to id, audit_id and the named columns (pruned at the scan).
+
+    Repeated rows are equal, so ``where`` is applied before they are dropped and reaches
+    the scan.  Scalar columns are deduplicated by hash, nested ones by id.
+    """
     t = table(spark, d, "pages")
-    return t.select("id", "audit_id", *[c for c in columns if c not in ("id", "audit_id")]).dropDuplicates(["id"])
+    t = t if where is None else t.where(where)
+    t = t.select("id", "audit_id", *[c for c in columns if c not in ("id", "audit_id")])
+    return t.dropDuplicates(["id"]) if _complex(t) else t.distinct()
 
 
-def issues(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "issues").dropDuplicates(["id"])
+def issues(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Issues once per id, reduced to id and the named columns; all columns if none is named."""
+    t = table(spark, d, "issues")
+    return t.select("id", *columns).distinct() if columns else t.distinct()
 
 
 def site_issues(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "site_issues").dropDuplicates(["id"])
+    return table(spark, d, "site_issues").distinct()
 
 
 def audits(spark: SparkSession, d: str) -> DataFrame:
