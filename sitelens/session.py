@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors, once per application.
+
+    The archive lies in the shared folder and Spark hands it out, so executors need no
+    copy of the repository; one that joins later gets it too.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_sitelens_archive", None):
+        return
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{root.name}/{f.relative_to(root).as_posix()}"), f.read_bytes())
+    content = data.getvalue()
+    path = f"{scratch_dir(spark)}/{root.name}-{hashlib.sha256(content).hexdigest()[:16]}.zip"
+    to = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to, True)
+    out.write(content)
+    out.close()
+    sc.addPyFile(path)
+    sc._sitelens_archive = path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +65,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     loss of executors because every task's output is in shared storage.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

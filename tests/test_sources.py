@@ -88,3 +88,15 @@ def test_similarity_hash_equals_a_plain_model(spark):
     table = {r["id"]: r["sim_hash"] for r in sim_hash_table(df, "id", F.col("t")).collect()}
     assert table == {i: model(t) for i, t in enumerate(texts) if t}
     assert [r[0] is None for r in df.orderBy("id").select(exact_hash(F.col("t"))).collect()] == [False, False, False, True, True]
+
+
+def test_the_package_is_shipped_to_the_workers(spark, sf):
+    import zipfile
+
+    from sitelens.session import ship, table
+
+    table(spark, sf, "audits")
+    ship(spark)
+    archive = spark.sparkContext._sitelens_archive
+    names = zipfile.ZipFile(archive.removeprefix("file://")).namelist()
+    assert "sitelens/session.py" in names and all(n.endswith(".py") for n in names)
