@@ -41,6 +41,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables this application has written to the shared folder.
+_written: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; results that still read them become invalid."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
@@ -51,7 +65,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         shared = spark.conf.get("sitelens.scratch.dir", None)
         if not shared:
-            if not spark.sparkContext.master.startswith("local["):
+            if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             shared = "file://" + tempfile.mkdtemp(prefix="sitelens-")
             spark.conf.set("sitelens.scratch.dir", shared)
@@ -68,5 +82,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     ship(spark)
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -100,3 +100,13 @@ def test_the_package_is_shipped_to_the_workers(spark, sf):
     archive = spark.sparkContext._sitelens_archive
     names = zipfile.ZipFile(archive.removeprefix("file://")).namelist()
     assert "sitelens/session.py" in names and all(n.endswith(".py") for n in names)
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from sitelens.session import clear_scratch, materialize
+
+    clear_scratch(spark)
+    df = materialize(spark.range(3), "test")
+    path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 3 and __import__("os").path.isdir(path)
+    assert clear_scratch(spark) == 1 and not __import__("os").path.isdir(path)
