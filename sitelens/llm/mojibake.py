@@ -289,6 +289,11 @@ def restore(text: str, known: dict[str, tuple[str | None, int]]) -> str | None:
     for chain in chains:
         if left(out):
             out = _RUN.sub(lambda m: _read_back(m.group(), chain) or m.group(), out)
+    for w, (original, i) in known.items():
+        # White space was tidied after the damage: the no-break space that belonged to the form is a space now.
+        spaced = _read_back(w + "\u00a0", CHAINS[i]) if original is None and i >= 0 else None
+        if spaced is not None:
+            out = re.sub(re.escape(w) + " {1,2}", spaced + " ", out)
     return None if left(out) else out
 
 

@@ -51,6 +51,13 @@ def test_a_stretch_is_enough(spark):
     assert m.garbled_fields(df.limit(0)).count() == 0
 
 
+def test_tidied_white_space(spark):
+    data = [(f"c{i}", t, None) for i in range(5) for t in CLEAN] + [("s", "CrÃ©maillÃ¨res discrÃ¨te, Ã  moitiÃ© prix", "prÃªte Ã poser")]
+    df = spark.createDataFrame([(f"{a}{i}", b, c) for i, (a, b, c) in enumerate(data)], "id string, title string, meta_description string")
+    got = {r["field"]: r["original"] for r in m.restored_fields(df).collect()}
+    assert got == {"title": "Crémaillères discrète, à moitié prix", "meta_description": "prête à poser"}
+
+
 def test_chains_round_trip():
     for ch in m.CHAINS:
         g = m.garble("Grüße", ch)
