@@ -11,8 +11,10 @@ and joined; the fields meet nothing but the short list of garbled words.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.llm.spam_features import FUNCTION_WORDS
 from sitelens.operators.skew import salted_join
 from sitelens.session import materialize
 
@@ -37,8 +40,16 @@ _SEPARATORS = "[\\u0000-\\u0040\\u005B-\\u0060\\u007B-\\u007F\\u00A0\\u2000-\\u2
 _SPLIT = re.compile(_SEPARATORS.encode().decode("unicode_escape"))
 #: Pieces of one character that only a wrong reading of UTF-8 leaves alone between spaces.
 _LEAD_MARKS = frozenset("ÃÂ├┬√")
-#: A clean word must be so many times as frequent as its same-length garbled form.
+#: Where the letters don't tell which of two words is the garbled one, the clean one must stand in so many times as many distinct texts.
 DOMINANCE = 2.0
+#: Log-likelihoods: the difference from which letters decide, what a capital after a small letter costs, and what a symbol inside a word.
+MARGIN, CAMEL, SYMBOL = 4.0, 4.0, 4.0
+#: What the ratio of distinct texts adds to the letters, for each power of e and at the most.
+SWAY, SWAY_MOST = 2.0, 6.0
+#: Weight of a function word in the letter model, and of single letters against pairs.
+_SEED, _BACKOFF = 3.0, 5.0
+#: Characters that may stand in a same-length form: the letter model needs no others.
+_NARROW = r"^[\u0021-\u25FF]+$"
 
 
 @lru_cache(maxsize=None)
@@ -163,6 +174,80 @@ def forms_of(word: str) -> dict[str, tuple[str, int, bool, bool]]:
     return out
 
 
+def faults(word: str) -> int:
+    """What no well-formed word has: symbols, changes of script, a capital after a small letter."""
+    scripts = [x for x in map(_script, word) if x]
+    odd = sum(not c.isascii() and not c.isalnum() and unicodedata.category(c) not in ("Mn", "Pd", "Pf", "Pi") for c in word)
+    return odd + sum(a != b for a, b in zip(scripts, scripts[1:])) + camels(word)
+
+
+def camels(word: str) -> int:
+    return sum(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+
+
+class Letters:
+    """Pairs of letters in words: how likely a spelling is.
+
+    Made from distinct words, each counted once, and the function words of the languages, so that copies of a text
+    don't move it.
+    """
+
+    def __init__(self, pairs: dict[str, float]):
+        self.pairs = Counter(pairs)
+        for w in (w for ws in FUNCTION_WORDS.values() for w in ws):
+            for a, b in zip(" " + w, w + " "):
+                self.pairs[a + b] += _SEED
+        self.first: Counter[str] = Counter()
+        self.second: Counter[str] = Counter()
+        for ab, v in self.pairs.items():
+            self.first[ab[0]] += v
+            self.second[ab[1]] += v
+        self.total = sum(self.second.values())
+
+    def score(self, word: str, own: bool = True) -> float:
+        """Log-likelihood of a spelling; what the word itself (``own``: one of those counted) adds is left out."""
+        w = word.lower()
+        ends = list(zip(" " + w, w + " "))
+        less = Counter(a + b for a, b in ends) if own else Counter()
+        out = -CAMEL * camels(word) - SYMBOL * sum(not c.isascii() and not c.isalpha() for c in word)
+        for a, b in ends:
+            single = (self.second[b] + 0.1) / (self.total + 100)
+            out += math.log((max(0.0, self.pairs[a + b] - less[a + b]) + _BACKOFF * single) / (self.first[a] + _BACKOFF))
+        return out
+
+
+def letters_of(words: DataFrame) -> Letters:
+    w = F.concat(F.lit(" "), F.lower("word"), F.lit(" "))
+    some = words.where(F.col("word").rlike(_NARROW)).select(w.alias("w"), F.lit(1.0).alias("v"))
+    pairs = some.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("ab"), "v")
+    # As many rows as the narrow scripts have pairs at the most.
+    return Letters({r["ab"]: r["v"] for r in pairs.where(F.length("ab") == 2).groupBy("ab").agg(F.sum("v").alias("v")).collect()})
+
+
+def _director(letters: Letters):
+    """Adds to hits which way they point: positive if the word is the garbled one, negative if the original is (2: clearly), 0 if unknown."""
+
+    def towards(word: str, original: str, chain: int, multi: bool, seen: int, n: int) -> int:
+        if not multi:
+            often = SWAY * math.log(seen / n) if seen else 0.0
+            gain = letters.score(original, seen > 0) - letters.score(word) + max(-SWAY_MOST, min(SWAY_MOST, often))
+            return max(-2, min(2, int(gain / MARGIN)))
+        written, read = CHAINS[chain][0][0], CHAINS[chain][-1][1]
+        if read == "utf_8":
+            # Bytes of another encoding are hardly ever well-formed UTF-8: the step was one back.
+            return 1 if "\ufffd" in word else -1
+        if not seen:
+            return 1
+        more = faults(word) - faults(original)
+        return 1 if more > 0 or (more == 0 and written == "utf_8") else -1 if more < 0 else 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            yield t.assign(way=[towards(*x) for x in zip(t["word"], t["original"], t["chain"], t["multi"], t["n_original"], t["n"])])
+
+    return run
+
+
 def _former(alphabet: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -210,22 +295,29 @@ def words_of(text: Column) -> Column:
 def garbled_words(words: DataFrame) -> DataFrame:
     """(word, original, chain) of the distinct words (word, n) that are garbled; original is null where it is lost.
 
-    A form that keeps the number of characters (one single-byte encoding for another)
-    counts only if its original has three letters and is ``DOMINANCE`` times as
-    frequent; longer forms of multi-byte text speak for themselves.
+    ``n`` is the number of distinct texts.  Which of two words is the garbled one is told by their letters and their
+    shape; only where these don't tell, by the number of texts (``DOMINANCE``).  A form that keeps the number of
+    characters (one single-byte encoding for another) counts only if its original has three letters.
     """
-    letters = words.select(F.explode(F.split("word", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    letters = words.select(F.explode(F.split("word", "")).alias("c")).distinct()
     # As many rows as Unicode has characters at the most.
-    alphabet = {r["c"] for r in letters.where((F.col("n") >= 2) & F.col("c").rlike(r"[^\x00-\x7F]")).collect()}
+    alphabet = {r["c"] for r in letters.where(F.col("c").rlike(r"[^\x00-\x7F]")).collect()}
     alphabet -= {c for c in alphabet if "\x80" <= c <= "\x9f" or c == "\ufffd"}
     spread = words.repartition(max(8, words.sparkSession.sparkContext.defaultParallelism), "word")
     forms = spread.mapInPandas(_former(alphabet), _FORMS)
     seen = words.mapInPandas(_folder, "f string, word string, n bigint, lost boolean")
     hit = seen.join(forms, "f").where(F.col("word") != F.col("original"))
     odd = F.length(F.regexp_replace("word", r"[\x00-\x7F]", ""))
-    known = (F.col("n_original") == 0) | (F.col("n_original") >= F.col("n"))
-    strong = F.col("multi") & known & ((odd >= 2) | (F.col("n_original") >= DOMINANCE * F.col("n")) & F.col("word").isin(*_LEAD_MARKS))
-    same = ~F.col("multi") & (F.col("n_original") >= DOMINANCE * F.col("n")) & (F.length("original") >= 3) & F.col("whole")
+    hit = hit.where(F.col("multi") | (F.length("original") >= 3) & F.col("whole"))
+    columns = "f string, word string, n bigint, lost boolean, " + _FORMS.removeprefix("f string, ") + ", way int"
+    hit = materialize(hit.mapInPandas(_director(letters_of(words)), columns), "garbled-hits")
+    # A reading whose words mostly point the other way is the way back of another one; a row per chain at the most.
+    back = hit.groupBy("chain").agg(F.sum(F.signum("way")).alias("net")).where("net < 0").select("chain", F.lit(True).alias("back"))
+    hit = hit.join(F.broadcast(back), "chain", "left").where(F.col("multi") | (F.abs("way") > 1) | F.col("back").isNull())
+    often = F.col("n_original") >= DOMINANCE * F.col("n")
+    known = (F.col("way") > 0) | (F.col("way") == 0) & (F.col("n_original") >= F.col("n"))
+    strong = F.col("multi") & known & ((odd >= 2) | F.col("word").isin("Ã", "Â") | often & F.col("word").isin(*_LEAD_MARKS))
+    same = ~F.col("multi") & ((F.col("way") > 0) | (F.col("way") == 0) & often)
     sure = hit.where(strong | same)
     exact = F.col("whole") & (F.col("garbled") == F.col("word"))
     best = sure.groupBy("word").agg(F.max(F.struct(exact.cast("int").alias("e"), "n_original", "original", "chain")).alias("b"))
@@ -236,7 +328,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
 
 def _garbled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = fields_of(pages)
-    tokens = fields.select("page_id", "field", F.explode(words_of(F.col("text"))).alias("word"))
+    tokens = fields.select("text").distinct().select(F.explode(words_of(F.col("text"))).alias("word"))
     words = materialize(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "distinct-words")
     return fields, materialize(garbled_words(words), "garbled-words")
 

@@ -63,3 +63,15 @@ def test_chains_round_trip():
         g = m.garble("Grüße", ch)
         if g and "�" not in g and g != "Grüße" and ch[-1][1] in m.SINGLE:
             assert m._read_back(g, ch) == "Grüße"
+
+
+def test_copies_do_not_turn_the_direction(spark):
+    chains = [(("koi8_r", "cp1251"), 3), (("iso8859_2", "cp1252"), 2), (("utf_8", "gbk"), 3)]
+    for chain, k in chains:
+        g = m.garble(CLEAN[k], (chain,))
+        for numbered in (False, True):  # copies, or 400 texts that differ in a number only
+            data = [(f"c{i}", f"{CLEAN[i % len(CLEAN)]} {i // len(CLEAN)}", None) for i in range(100 * len(CLEAN))]
+            data += [(f"b{i}", None, f"{g} {i}" if numbered else g) for i in range(400)]
+            df = spark.createDataFrame(data, "id string, title string, meta_description string").coalesce(4)
+            got = {r["page_id"] for r in m.garbled_fields(df).collect()}
+            assert got == {f"b{i}" for i in range(400)}, (chain, numbered, len(got), sorted(got)[:3])
