@@ -23,14 +23,14 @@ _FIELD = "(?:title|headline|subline|heading|subtitle|name|brand|store|shop|site|
 
 #: Placeholder grammars by opening delimiter.
 PLACEHOLDERS = [
-    r"\{\{[^{}]{0,120}\}\}",
-    r"\{[%#][^{}]{0,160}[%#]\}",
-    r"[$#@]\{\s*\w[^{}]{0,120}\}",
+    r"\{\{[^{}]*+\}\}",
+    r"\{[%#][^{}]*[%#]\}",
+    r"[$#@]\{\s*\w[^{}]*+\}",
     r"(?<![\w$#@{])\{[a-z_][\w.\-]{0,60}\}(?!\})",
     r"(?<![\w$#@{])\{\d{1,2}(?::[^{}]{0,10})?\}(?!\})",
-    r"<%.{0,160}?%>",
-    r"<\?(?:php|=).{0,160}?(?:\?>|$)",
-    r"\[\[[^\[\]]{1,120}\]\]",
+    r"<%(?:[^%<]|%(?!>)|<(?!%))*+%>",
+    r"<\?(?:php|=)(?:[^?]|\?(?!>))*+(?:\?>|$)",
+    r"\[\[[^\[\]]++\]\]",
     rf"\[(?:{_FIELD}|(?:insert|your|enter)[^\[\]]{{1,40}}|[a-z]+(?:_[a-z]+){{1,12}})\]",
     rf"(?<!\w)<{_FIELD}>(?!\w)",
     r"%%\w{1,60}%%",
@@ -41,15 +41,18 @@ PLACEHOLDERS = [
     r"(?<!\S)@(?:model|viewbag|viewdata|html|page|site|item)\.\w+",
 ]
 
+_KEYS = r"(?:asdf|qwerty|qwertz|azerty|foo|bar|baz|blah|bla)\w{0,4}+"
+_NOTHING = r"(?:undefined|null|nan|none|n/a|\[object object\])"
+
 #: A field that consists of a constant's name, bare markup or repeated keys.
 WHOLE = [
     r"(?:page|meta|seo|site|og|product|category)?_?(?:title|description|desc|headline|name)_(?:tag|text|here|placeholder|value|key)(?:_?\d+)?",
     r"</?[a-z][a-z0-9]*\s*/?>",
-    r"(?:x{3,}+\W{0,3}){1,300}",
-    r"(?:(?:asdf|qwerty|qwertz|azerty|foo|bar|baz|blah|bla)\w{0,4}+\W{0,3}){2,300}",
-    r"(?:test\W{0,3}){2,300}\d*",
-    r"(?:([a-z])\1{2,}+\W++){2,300}[a-z]*",
-    r"(?:(?:undefined|null|nan|none|n/a|\[object object\])\W{0,3}){1,300}",
+    r"x{3,}+(?:\W*?x{3,}+)*+\W*",
+    rf"{_KEYS}(?:\W*?{_KEYS})++\W*",
+    r"test(?:\W*?test)++\W*\d*",
+    r"([a-z])\1{2,}+\W++([a-z])\2{2,}+(?=\W)(?:\W++([a-z])\3{2,}+)*+\W*[a-z]*",
+    rf"{_NOTHING}(?:\W*?{_NOTHING})*+\W*",
     r"[(\[]?(?:no|ohne|sans|sin|sem|brak|без) ?(?:title|titel|titre|t[ií]tulo|tytu[łl]u|заголовка|name|description|beschreibung)[)\]]?",
     r"(?:loading|laden|chargement|cargando|carregando|ładowanie|загрузка|読み込み中)\W*",
     r"(?:copy of ){0,6}(?:untitled|unbenannt|sans titre|sin t[ií]tulo|sem t[ií]tulo|без названия|無題)(?: (?:document|page|dokument|seite|\d+)){0,6}",

@@ -40,3 +40,12 @@ def test_very_long_fields(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, t string")
     got = {r["i"]: r["r"] for r in df.select("i", is_residue(F.col("t")).alias("r")).collect()}
     assert got[0] and not got[2] and not got[6] and not got[10]
+
+
+def test_length_is_no_limit(spark):
+    yes = ["test " * 5000, "null " * 5000, "undefined " * 5000, "xxx " * 5000, "asdf " * 5000, "aaa bbb " * 5000, "xxx ---- xxx", "null ..... null", "[object Object] " * 400 + "| Shop", "xxx | Brand name", "aaa bbb ccc | brand name"]
+    yes += ["{{ " + "a " * 500 + "}} | Shop", "{% if " + "a " * 500 + "%}", "<% " + "a " * 500 + "%>", "<?php " + "a " * 500 + "?>", "[[ " + "a " * 500 + "]]", "${ " + "a " * 500 + "}"]
+    no = ["test " * 5000 + "of a kettle", "null " * 5000 + "and a kettle", "<% " * 20000, "[[" * 20000, "{% a" * 20000, "aaa bbb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(yes + no)], "i int, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", is_residue(F.col("t")).alias("r")).collect()}
+    assert [i for i in range(len(yes)) if not got[i]] == [] and [i for i in range(len(yes), len(got)) if got[i]] == []
