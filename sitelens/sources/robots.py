@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sitelens.functions.urls import host, is_strict
 from sitelens.session import table
 
-AGENT = "seospider"
+#: The name under which rules are read where the caller names none.
+AGENT = "sitelens"
 _LINE = r"^\s*([^:]*?)\s*:\s*(.*?)\s*$"
 
 
