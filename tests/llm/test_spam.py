@@ -1,4 +1,8 @@
+import math
 import random
+from collections import Counter
+
+import numpy as np
 
 from sitelens.llm import spam
 from sitelens.llm.spam_features import FEATURES, measure
@@ -35,7 +39,51 @@ def test_empty(spark):
     assert spam.spam_documents(df).count() == 0
 
 
-def test_measures_are_shares():
-    for t in (*PROSE, *SPAM, *FINE, "", "x"):
-        _, _, f = measure(t, None)
-        assert len(f) == len(FEATURES) and all(0 <= x <= 1.0000001 for x in f)
+def _table(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.sample(PROSE, r.randrange(2, 6))), "en") for i in range(300)]
+    return spark.createDataFrame(rows + [(1000 + i, t, "en") for i, t in enumerate(SPAM)] + [(3000 + i, t, "en") for i, t in enumerate(FINE)], "doc_id bigint, text string, lang string")
+
+
+def test_measures_are_shares(spark):
+    rows = [(i, t, None) for i, t in enumerate((*PROSE, *SPAM, *FINE, "", "x", "お茶は静かです。よく使います。"))]
+    df = measure(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    for r in df.collect():
+        assert all(0 <= r[f] <= 1.0000001 for f in FEATURES if f not in ("breaks", "keyed", "stops")), r
+
+
+def test_entropy_and_repetition_equal_a_plain_count(spark):
+    texts = {1: "aa bb aa cc aa bb", 2: "the lamp and the lamp and the lamp", 3: "x1"}
+    got = {r["doc_id"]: r for r in measure(spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id bigint, text string, lang string")).collect()}
+    for i, text in texts.items():
+        words = text.split()
+        counts, pairs, n = Counter(words), Counter(zip(words, words[1:])), len(words)
+        entropy = -sum(k / n * math.log(k / n) for k in counts.values()) / math.log(n) if n > 1 else 1.0
+        assert abs(got[i]["entropy"] - entropy) < 1e-9
+        assert abs(got[i]["repeat"] - sum(k for k in pairs.values() if k >= 3) / max(1, n - 1)) < 1e-9
+    assert got[1]["top"] == 2 / 6 and got[2]["function"] == 5 / 8 and got[2]["top"] == 2 / 8
+
+
+def test_distance_and_direction_both_decide(spark):
+    """With the distance taken away real texts are reported; with the direction taken away, texts that serve a reader."""
+    measured = spam.materialize(measure(_table(spark)), "t")
+    rows = spam.judge(measured, spam.fit(measured)).collect()
+    cases = {r["doc_id"] for r in rows if r["case"]}
+    assert cases == {1000 + i for i in range(len(SPAM))}
+    limit = spam.chi2_quantile(spam.OUTLIER, spam.K)
+    undirected = {r["doc_id"] for r in rows if r["distance"] > limit and r["units"] >= spam.LEAST_WORDS}
+    near = {r["doc_id"] for r in rows if r["spam"] >= spam.ALIGNED and r["spam"] > r["serving"]}
+    assert undirected - cases and near - cases
+
+
+def test_chi_square():
+    assert abs(spam.chi2_quantile(0.999, 8) - 26.124) < 1e-3 and abs(spam.chi2_quantile(0.9, 11) - 17.275) < 1e-3
+    assert spam.chi2_cdf(0, 3) == 0
+
+
+def test_few_documents_lean_on_the_pooled_model(spark):
+    rows = [(i, " ".join(PROSE[: 2 + i % 4]), "en") for i in range(80)] + [(900, "Der Kessel ist leise und er steht auf dem Herd in der Küche.", "de")]
+    measured = spam.materialize(measure(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")), "t")
+    model = spam.fit(measured)
+    assert np.allclose(model["fr"][0], model["und"][0]) and np.abs(model["de"][0] - model["fr"][0]).max() < 0.1
+    assert all(np.linalg.eigvalsh(c).min() > 0 for _, c in model.values())
