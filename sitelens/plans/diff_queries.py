@@ -81,7 +81,33 @@ _PAIRS = """, h as (select id, completed_at as ts, lower(regexp_extract(seed_url
     pr as (select l.id as pair, arg_max(e.id, e.ts) as earlier from h l join h e on e.host = l.host and e.ts < l.ts group by l.id),
     cd as (select page_id, list(code order by code) as codes from i group by 1),
     pg as (select p.audit_id, p.url, arg_min(coalesce(cd.codes, []), (p.crawled_at, p.id)) as codes from p left join cd on cd.page_id = p.id group by all)"""
+_LISTS = """array_to_string(list_sort(list_filter({x}.codes, lambda v: not list_contains({y}.codes, v))), ',')"""
+# The one-after-the-other choice: each step takes the next target page of a pair and appends the first of its bases that is not taken.
+_MOVED = BASE.replace("with p as", "with recursive p as", 1) + _PAIRS.replace("as codes from p left join", "as codes, arg_min((p.crawled_at, p.id, p.sim_hash), (p.crawled_at, p.id)) as s from p left join") + """,
+    nt as (select pr.pair, t.url, t.codes, t.s[1] as ts, t.s[2] as id, t.s[3] as h from pr join pg t on t.audit_id = pr.pair
+           where not exists (from pg b where b.audit_id = pr.earlier and b.url = t.url)),
+    nb as (select pr.pair, b.url, b.codes, b.s[1] as ts, b.s[2] as id, b.s[3] as h from pr join pg b on b.audit_id = pr.earlier
+           where not exists (from pg t where t.audit_id = pr.pair and t.url = b.url)),
+    wish as (select nt.pair, nt.url, any_value(nt.ts) as ts, any_value(nt.id) as id, list(nb.url order by bit_count(xor(nt.h, nb.h)), nb.ts, nb.id) as bases
+             from nt join nb on nb.pair = nt.pair and bit_count(xor(nt.h, nb.h)) <= 5 group by nt.pair, nt.url),
+    turn as (select *, row_number() over (partition by pair order by ts, id) as k from wish),
+    step as (select pair, 0::bigint as k, []::varchar[] as taken, null::varchar as url, null::varchar as base from (select distinct pair from turn)
+             union all select t.pair, t.k, case when x.b is null then s.taken else list_append(s.taken, x.b) end, t.url, x.b from step s join turn t on t.pair = s.pair and t.k = s.k + 1,
+             lateral (select list_filter(t.bases, lambda v: not list_contains(s.taken, v))[1] as b) x),
+    mv as (select pair, url, base from step where base is not null)"""
+_ADDED, _REMOVED = _LISTS.format(x="t", y="b"), _LISTS.format(x="b", y="t")
 SQL = {
+    "diff_moved": _MOVED + f""" select mv.pair, mv.url, mv.base as moved_from, {_ADDED.replace('t.codes', 'list_distinct(t.codes)', 1)} as added, {_REMOVED.replace('b.codes', 'list_distinct(b.codes)', 1)} as removed,
+        {_ADDED.replace('t.codes', 'list_distinct(t.codes)', 1).replace('not ', '')} as persistent
+        from mv join nt t on t.pair = mv.pair and t.url = mv.url join nb b on b.pair = mv.pair and b.url = mv.base""",
+    "diff_issue_changes": _MOVED + """, pv as (select pr.pair, t.codes as n, b.codes as o from pr join pg t on t.audit_id = pr.pair join pg b on b.audit_id = pr.earlier and b.url = t.url
+        union all select mv.pair, t.codes, b.codes from mv join nt t on t.pair = mv.pair and t.url = mv.url join nb b on b.pair = mv.pair and b.url = mv.base),
+        rows as (select pair, 'added' as change, unnest(list_filter(list_distinct(n), lambda v: not list_contains(o, v))) as code from pv
+        union all select pair, 'removed', unnest(list_filter(list_distinct(o), lambda v: not list_contains(n, v))) from pv
+        union all select pair, 'persistent', unnest(list_filter(list_distinct(n), lambda v: list_contains(o, v))) from pv
+        union all select pair, 'added', unnest(codes) from nt where not exists (from mv where mv.pair = nt.pair and mv.url = nt.url)
+        union all select pair, 'removed', unnest(codes) from nb where not exists (from mv where mv.pair = nb.pair and mv.base = nb.url))
+        select pair, code, change, count(*) as n from rows group by all""",
     "previous_audit": BASE + """, n as (select id, lower(regexp_extract(seed_url, '^[A-Za-z]+://([^/?#:]+)', 1)) as host from a),
         o as (select id as oid, lower(seed_url) as s, completed_at from a where status = 'completed')
         select n.id, arg_max(o.oid, (o.completed_at, o.oid)) as previous_id from n join o on o.oid <> n.id
