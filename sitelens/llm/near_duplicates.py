@@ -4,7 +4,8 @@ Prefix filtering: with the words of every set put in one order, rare words first
 sets of similarity t share a word among the first ``len - ceil(t*len) + 1`` of each.
 A word that is still frequent in its group makes a poor join key, so it is extended
 by the next shared words to an n-gram until the n-gram is expected to be rare; a pair
-that shares the n-gram's first word in that way also shares the n-gram.  Joined pairs
+that shares the n-gram's first word in that way also shares the n-gram.  The number of
+n-grams of a set is bounded (``MOST_KEYS``): long sets stop at a smaller n.  Joined pairs
 pass a length filter, a positional filter and a bit-parallel suffix filter before the
 distinct survivors are verified, once each, on their whole word sets.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from sitelens.session import materialize
 BUCKETS = 1 << 16
 #: An n-gram expected in more sets of its group than this is extended, up to MAX_N words.
 RARE, MAX_N = 24, 4
+#: n stays so small that a set has at most this many n-grams of frequent words at its largest n.
+MOST_KEYS = 2_000
 _KEYS = "key bigint, rid bigint, info bigint, sig bigint"
 
 
@@ -40,6 +44,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=4)
+def _levels(t: float, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cap, least): by length of a set, its largest n and the smallest largest n of a set that may be similar to it.
+
+    Similar sets share at least ceil(t * length) words, so n never exceeds that.  Where
+    two caps differ, the set with the larger one also emits the n-grams at which the
+    other stops, so a similar pair always meets.
+    """
+    length = np.arange(longest + 1)
+    need = np.ceil(t * length - 1e-9).astype(np.int64)
+    cap = np.ones(longest + 1, dtype=np.int64)
+    for n in range(2, MAX_N + 1):
+        grams = np.array([math.comb(int(x), n) for x in length - need + n])
+        cap[(need >= n) & (grams <= MOST_KEYS) & (cap == n - 1)] = n
+    last = np.minimum(np.floor(length / t + 1e-9).astype(np.int64), longest)
+    least = np.array([cap[need[x] : max(last[x], need[x]) + 1].min() for x in length])
+    return cap, least
+
+
 def prefix_keys(rid: np.ndarray, group: np.ndarray, offsets: np.ndarray, words: np.ndarray, share: np.ndarray, sizes: np.ndarray, t: float):
     """Join keys of a batch of sets: (key, rid, info, sig); info packs length, last position and n."""
     lens = np.diff(offsets).astype(np.int64)
@@ -60,9 +83,12 @@ def prefix_keys(rid: np.ndarray, group: np.ndarray, offsets: np.ndarray, words:
     h = _mix(group.astype(np.int64).view(np.uint64)[r] ^ _mix(w[start[r] + pos]))
     est = size[r] * freq[start[r] + pos]
     out = []
+    # A power of two above the longest possible partner, so that few tables are made.
+    cap, least = _levels(t, 1 << max(8, int(lens.max(initial=1) / t + 2).bit_length()))
     for n in range(1, MAX_N + 1):
-        done = (est <= RARE) | (n == MAX_N)
-        out.append((h[done], r[done], pos[done], np.full(int(done.sum()), n)))
+        done = (est <= RARE) | (n >= cap[lens[r]])
+        met = done | (n >= least[lens[r]])
+        out.append((h[met], r[met], pos[met], np.full(int(met.sum()), n)))
         r, pos, h, est = r[~done], pos[~done], h[~done], est[~done]
         if not len(r):
             break

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from sitelens.llm import near_duplicates as nd
 
 SCHEMA = "id string, audit_id string, title string, meta_description string, toks int, rid string"
@@ -75,3 +77,33 @@ def test_classes(spark):
 
 def test_empty(spark):
     assert nd.similar_pages(pages(spark, [])).count() == 0 and nd.similarity_classes(pages(spark, [])).count() == 0
+
+
+def test_every_similar_pair_meets_at_a_key():
+    """Sets of 1 to 120 words, all frequent: brute force finds no pair without a common key, and keys stay bounded."""
+    r = np.random.default_rng(4)
+    for t in (0.7, 0.8):
+        for longest in (4, 8, 30, 120):
+            sets: list[frozenset] = []
+            for _ in range(150 if longest < 10 else 25):
+                root = r.choice(longest * 2, size=r.integers(1, longest + 1), replace=False)
+                sets.append(frozenset(root.tolist()))
+                for _ in range(3):
+                    kept = [x for x in root.tolist() if r.random() > 0.12] or root.tolist()[:1]
+                    sets.append(frozenset(kept + r.choice(longest * 2, size=r.integers(0, len(kept) // 6 + 1)).tolist()))
+            sets = list(dict.fromkeys(sets))
+            flat = np.concatenate([np.array(sorted(x), dtype=np.int32) for x in sets])
+            offsets = np.r_[0, np.cumsum([len(x) for x in sets])]
+            rid = np.arange(len(sets))
+            key, owner, info, _ = nd.prefix_keys(rid, np.zeros(len(sets), np.int64), offsets, flat, np.full(nd.BUCKETS, 0.9, np.float32), np.full(nd.BUCKETS, 1e9), t)
+            own: dict[int, set] = {i: set() for i in rid}
+            for k, o in zip(key.tolist(), owner.tolist()):
+                own[o].add(k)
+            assert max(np.bincount(owner)) <= 3 * nd.MOST_KEYS
+            found = 0
+            for i in range(len(sets)):
+                for j in range(i):
+                    if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9:
+                        found += 1
+                        assert own[i] & own[j], (t, sets[i], sets[j])
+            assert found > 10
