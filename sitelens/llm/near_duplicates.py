@@ -29,6 +29,10 @@ BUCKETS = 1 << 16
 RARE, MAX_N = 24, 4
 #: n stays so small that a set has at most this many n-grams of frequent words at its largest n.
 MOST_KEYS = 2_000
+#: A key expected in more than BLOCK sets is split in up to MOST_BLOCKS blocks that meet two by two.
+BLOCK, MOST_BLOCKS = 2_000, 64
+#: Sets whose keys one task of the join takes.
+SETS_A_TASK = 30_000
 _KEYS = "key bigint, rid bigint, info bigint, sig bigint"
 
 
@@ -64,7 +68,14 @@ def _levels(t: float, longest: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_keys(rid: np.ndarray, group: np.ndarray, offsets: np.ndarray, words: np.ndarray, share: np.ndarray, sizes: np.ndarray, t: float):
-    """Join keys of a batch of sets: (key, rid, info, sig); info packs length, last position and n."""
+    """Join keys of a batch of sets: (key, rid, info, sig).
+
+    info packs length, side, last position and n.  A key expected in many sets is split:
+    each set belongs to one block of it and emits one key per block, for the cell in
+    which the two blocks meet; side tells the lower block (1) from the higher (2), and
+    0 marks the cell in which a block meets itself.  How often a key is expected follows
+    from its words and group alone, so all sets agree on the blocks.
+    """
     lens = np.diff(offsets).astype(np.int64)
     rec = np.repeat(np.arange(len(rid)), lens)
     w = words.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)
@@ -88,7 +99,7 @@ def prefix_keys(rid: np.ndarray, group: np.ndarray, offsets: np.ndarray, words:
     for n in range(1, MAX_N + 1):
         done = (est <= RARE) | (n >= cap[lens[r]])
         met = done | (n >= least[lens[r]])
-        out.append((h[met], r[met], pos[met], np.full(int(met.sum()), n)))
+        out.append((h[met], r[met], pos[met], np.full(int(met.sum()), n), est[met]))
         r, pos, h, est = r[~done], pos[~done], h[~done], est[~done]
         if not len(r):
             break
@@ -99,8 +110,16 @@ def prefix_keys(rid: np.ndarray, group: np.ndarray, offsets: np.ndarray, words:
         pos = nxt
         h = _mix(h * np.uint64(31) ^ _mix(w[start[r] + pos]))
         est = est * freq[start[r] + pos]
-    h, r, pos, n = (np.concatenate(x) for x in zip(*out))
-    info = (lens[r] << 24) | (pos << 4) | n
+    h, r, pos, n, est = (np.concatenate(x) for x in zip(*out))
+    blocks = np.clip(np.ceil(est / BLOCK), 1, MOST_BLOCKS).astype(np.int64)
+    again = np.repeat(np.arange(len(h)), blocks)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    h, r, pos, n, blocks = (x[again] for x in (h, r, pos, n, blocks))
+    own = (_mix(rid.astype(np.int64).view(np.uint64)[r]) % blocks.astype(np.uint64)).astype(np.int64)
+    side = np.where(own == other, 0, np.where(own < other, 1, 2))
+    cell = np.minimum(own, other) * MOST_BLOCKS + np.maximum(own, other)
+    h = np.where(blocks > 1, _mix(h ^ _mix(cell.astype(np.uint64) + np.uint64(1))), h)
+    info = (lens[r] << 26) | (side << 24) | (pos << 4) | n
     return h.view(np.int64), rid[r], info, sig.view(np.int64)[r]
 
 
@@ -140,14 +159,19 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     share = _bucket_counts(sets.select(F.explode("toks").alias("x")).select(F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))) / n
     sizes = _bucket_counts(sets.select(F.col("grp").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")))
     keys = sets.mapInArrow(_key_maker(share.astype(np.float32), sizes, threshold), _KEYS)
+    # The number of tasks follows the number of sets, so that what one task reads does not grow with the corpus.
+    usual = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.repartition(max(usual, n // SETS_A_TASK), "key")
     a, b = keys.alias("a"), keys.alias("b")
-    length = lambda s: F.shiftright(F.col(f"{s}.info"), 24)
+    length = lambda s: F.shiftright(F.col(f"{s}.info"), 26)
     after = lambda s: length(s) - 1 - F.shiftright(F.col(f"{s}.info"), 4).bitwiseAND(F.lit(0xFFFFF))
     need = F.ceil((length("a") + length("b")) * (threshold / (1 + threshold)) - 1e-9)
+    side = lambda s: F.shiftright(F.col(f"{s}.info"), 24).bitwiseAND(F.lit(3))
+    meet = ((side("a") == 0) & (side("b") == 0)) | (side("a") + side("b") == 3)
     ngram = F.col("a.info").bitwiseAND(F.lit(15))
     pairs = a.join(
         b,
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid"))
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & meet
         & (F.least(length("a"), length("b")) >= threshold * F.greatest(length("a"), length("b")) - 1e-9)
         & (ngram + F.least(after("a"), after("b")) >= need)
         & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= length("a") + length("b") - 2 * need),

@@ -64,6 +64,14 @@ def test_frequent_words_are_extended(spark, monkeypatch):
     assert sorted(map(tuple, nd.similar_pages(pages(spark, rows)).collect())) == brute(rows, 0.7)
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    rows = corpus(7, 160)
+    want = brute(rows, 0.7)
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    got = sorted((x["page_id_a"], x["page_id_b"]) for x in nd.similar_pages(pages(spark, rows)).collect())
+    assert got == want
+
+
 def test_classes(spark):
     rows = corpus(4)
     want = brute(rows, 0.7)
@@ -92,18 +100,19 @@ def test_every_similar_pair_meets_at_a_key():
                     kept = [x for x in root.tolist() if r.random() > 0.12] or root.tolist()[:1]
                     sets.append(frozenset(kept + r.choice(longest * 2, size=r.integers(0, len(kept) // 6 + 1)).tolist()))
             sets = list(dict.fromkeys(sets))
+            size = 1_500 if longest == 120 else 100_000  # the latter splits every key in blocks
             flat = np.concatenate([np.array(sorted(x), dtype=np.int32) for x in sets])
             offsets = np.r_[0, np.cumsum([len(x) for x in sets])]
             rid = np.arange(len(sets))
-            key, owner, info, _ = nd.prefix_keys(rid, np.zeros(len(sets), np.int64), offsets, flat, np.full(nd.BUCKETS, 0.9, np.float32), np.full(nd.BUCKETS, 1e9), t)
+            key, owner, info, _ = nd.prefix_keys(rid, np.zeros(len(sets), np.int64), offsets, flat, np.full(nd.BUCKETS, 0.9, np.float32), np.full(nd.BUCKETS, size), t)
             own: dict[int, set] = {i: set() for i in rid}
-            for k, o in zip(key.tolist(), owner.tolist()):
-                own[o].add(k)
-            assert max(np.bincount(owner)) <= 3 * nd.MOST_KEYS
+            for k, o, side in zip(key.tolist(), owner.tolist(), (info >> 24 & 3).tolist()):
+                own[o].add((k, side))
+            assert max(np.bincount(owner)) <= 3 * nd.MOST_KEYS * (nd.MOST_BLOCKS if size > nd.BLOCK else 1)
             found = 0
             for i in range(len(sets)):
                 for j in range(i):
                     if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9:
                         found += 1
-                        assert own[i] & own[j], (t, sets[i], sets[j])
+                        assert any((k, (0, 2, 1)[side]) in own[j] for k, side in own[i]), (t, sets[i], sets[j])
             assert found > 3 or longest == 4  # distinct sets of so few words are never that similar
