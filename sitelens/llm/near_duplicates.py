@@ -31,8 +31,6 @@ RARE, MAX_N = 24, 4
 MOST_KEYS = 2_000
 #: A key expected in more than BLOCK sets is split in up to MOST_BLOCKS blocks that meet two by two.
 BLOCK, MOST_BLOCKS = 2_000, 64
-#: Sets whose keys one task of the join takes.
-SETS_A_TASK = 30_000
 _KEYS = "key bigint, rid bigint, info bigint, sig bigint"
 
 
@@ -159,9 +157,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     share = _bucket_counts(sets.select(F.explode("toks").alias("x")).select(F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))) / n
     sizes = _bucket_counts(sets.select(F.col("grp").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")))
     keys = sets.mapInArrow(_key_maker(share.astype(np.float32), sizes, threshold), _KEYS)
-    # The number of tasks follows the number of sets, so that what one task reads does not grow with the corpus.
-    usual = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = keys.repartition(max(usual, n // SETS_A_TASK), "key")
+    # No fixed number of partitions: adaptive execution may then split a partition that correlated words made large.
     a, b = keys.alias("a"), keys.alias("b")
     length = lambda s: F.shiftright(F.col(f"{s}.info"), 26)
     after = lambda s: length(s) - 1 - F.shiftright(F.col(f"{s}.info"), 4).bitwiseAND(F.lit(0xFFFFF))
