@@ -4,8 +4,10 @@ Two families of expressions, all evaluated inside the JVM:
 
 * placeholders, one grammar per delimiter (``{{ }}``, ``{% %}``, ``<% %>``, ``%% %%``,
   ``[[ ]]``, ``${ }`` ...), found anywhere in the field;
-* messages, patterns that must start the field or one of its sentences and reach its
-  end (or a separator), so that a sentence *about* errors or scripts is none.
+* messages, patterns that must start the field, a sentence or a part between
+  separators, and fill it: of the words up to its end at most ``STRANGE`` may be
+  neither function words nor words of such messages.  A text *about* errors or scripts
+  goes on with words of its own subject, a message doesn't.
 
 A field is discounted when it writes about such things: code between backticks or
 code tags is taken out first, and where words of a tutorial stand beside a
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.llm.spam_features import FUNCTION_WORDS
+
 _FIELD = "(?:title|headline|subline|heading|subtitle|name|brand|store|shop|site|company|product|category|city|location|keyword|price|year|month|date|author|topic|text|summary|excerpt|description|desc|content|image|link|url|number|variant|sku)"
 
 #: Placeholder grammars by opening delimiter.
@@ -93,7 +97,7 @@ OPENERS = [
     r"(?:http |error |erreur |fehler |err[:.]? |status |code ){0,4}(?:0x[0-9a-f]+|[1-9]\d{2,3})\W{0,4}(?:\(?(?:page |file )?not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|internal server error|service (?:temporarily )?unavailable|too many requests|method not allowed|not acceptable|conflict|gone|payment required)\b",
     r"(?:http )?(?:error|status|code)(?: code)? (?:0x[0-9a-f]+|\d{3,4})\b\W{0,4}(?:$|[(:–—-]? ?\(?(?:not found|request blocked|forbidden|access denied|server error|bad|the request|this page))",
     r"(?:too many requests|internal server error|bad gateway|gateway time-?out|service unavailable|request blocked|access (?:is )?denied|permission denied|forbidden|connection refused)\b\W*(?:\(?\d*\)?\W*)?(?:$|\|)",
-    r"(?:the )?(?:requested )?(?:page|url|file|resource)(?: you (?:requested|are looking for|were looking for))? (?:not found|could not be found|can ?not be found|can[’']t be found|was not found|does not exist|doesn[’']t exist|no longer exists)",
+    r"(?:the |this |that )?(?:requested )?(?:page|url|file|resource)(?: you (?:requested|are looking for|were looking for))? (?:not found|could not be found|can ?not be found|can[’']t be found|was not found|does not exist|doesn[’']t exist|no longer exists)",
     r"(?:oops|whoops|uh oh|sorry)\b\W{0,3}.{0,40}(?:can[’']t be found|not found|went wrong|error (?:has )?occurred|wrong page)",
     r"(?:an |a |sorry, an |unexpected |unknown ){0,6}(?:error|exception|problem) (?:has )?occurred",
     r"something went wrong",
@@ -101,7 +105,7 @@ OPENERS = [
     r"(?:php )?(?:fatal|parse|syntax|runtime|application|server|database|critical) error\b\W",
     r"(?:php )?(?:warning|notice|deprecated): .{3,120}(?: in /| on line |undefined|deprecated)",
     r"notice: trying to get property",
-    r"uncaught (?:type|reference|syntax|range|exception)?\w*",
+    r"uncaught (?:type|reference|syntax|range|exception)\w*",
     r"(?:err|error)\b\W{1,3}(?:template|module|file|theme|plugin|view|include)\b.{0,40}(?:could not|cannot|failed|missing|not)",
     r"traceback \(most recent call last\)",
     r"(?:java|javax|org|com|system|kotlin)(?:\.\w{1,60}){1,12}(?:exception|error)\b",
@@ -144,7 +148,26 @@ OPENERS = [
 ]
 
 #: Words of a text that explains templates, code or type specimens.
-_TUTORIAL = r"\b(?:tutorial|explained|syntax|placeholders?|in css|in html|in php|in liquid|jinja|handlebars|mustache|cheat ?sheet|variables?|escap(?:e|ing)|specimens?|snippet|coding|lesson|course|developers?)\b"
+_TUTORIAL = (
+    r"\b(?:tutorial|explained|syntax|placeholders?|in css|in html|in php|in liquid|jinja|handlebars|mustache|cheat ?sheet|variables?|escap(?:e|ing)|specimens?|snippet|coding|lesson|course|developers?)\b"
+    r"|(?U)\b(?:vorlagen?|platzhalter|anleitung|variablen|lektion|gabarits?|modèles?|syntaxe|guide|leçon|plantillas?|variables|sintaxis|lección|curso|modelos?|sintaxe|lição|szablon\w*|zmienn\w+|składni\w*|шаблон\w*|переменн\w+|синтаксис\w*|урок\w*)\b"
+    r"|テンプレート|変数|構文|講座"
+)
+#: Strange words that a message may hold (the name of a site), and characters of a Japanese one.
+STRANGE, LONGEST_JAPANESE = 1, 24
+# Words that messages of sites, servers, browsers and editors consist of, beside function words.
+MESSAGE_WORDS = (
+    "error err code status page site website blog shop store server application app file url resource address request requested requests response browser connection session access domain script scripts javascript java cookies "
+    "please sorry oops whoops uh oh enable enabled activate disabled deactivated turn turned off allow allowed support supported supports need needs required requires require work works properly run view display see show continue again try "
+    "reload refresh back later log login sign wait moment seconds minutes loading load loaded processing performing occurred happened went wrong something unexpected unknown problem exception found find exist exists longer available unavailable looking bad gateway "
+    "forbidden denied blocked rejected permission sufficient resource expired timed time timeout internal many few service temporarily currently maintenance scheduled undergoing down soon coming construction check checking verify verifying verification secure security human robot "
+    "incident ref id reference administrator contact establishing database fatal parse runtime critical notice trying property line undefined null template module theme plugin view include traceback recent call last stack trace "
+    "insert enter add write type put provide describe title headline description desc summary text content tagline meta seo short brief sentences one two max characters here goes new another powered built made builder welcome web parked sale suspended dummy sample placeholder filler example default replaced todo tbd filled editor "
+    "seite seitentitel titel beschreibung überschrift inhalt angeforderte gefunden existiert mehr bitte warten aktivieren erlauben deaktiviert erforderlich geprüft fehler zugriff verweigert blindtext platzhalter beispieltext später ersetzt eingeben einfügen steht ihrem "
+    "page introuvable trouvée trouver demandée existe pu veuillez activer activez afficher contenu navigateur vérification erreur accès refusé compléter remplir titre ajoutez ici texte résumé "
+    "página encontrada encuentra busca activar navegador habilite active error acceso denegado relleno ejemplo sustituir antes publicar aquí título descripción descrição encontrado negado "
+    "strona strony strony znaleziono istnieje włącz włączyć obsługę przeglądarce błąd odmowa dostępu wpisz tytuł opis tekst страница найдена существует удалена включите активируйте браузере ошибка доступ запрещен запрещён введите описание"
+).split()
 # Words of the customary pseudo-Latin filler text.
 LOREM_WORDS = (
     "lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "elit", "eiusmod", "tempor", "incididunt", "labore", "dolore",
@@ -163,7 +186,12 @@ _LATIN = "(?:" + "|".join(LOREM_WORDS) + ")"
 _RUN = r"\b" + _LATIN + r"(?:[\s,.]+(?:" + "|".join((*LOREM_WORDS, *_LOREM_SMALL)) + r")\b){3,8}"
 _PLACEHOLDER = _any(PLACEHOLDERS)
 _WHOLE = "^\\W{0,2}(?:" + _any(WHOLE) + r")\s*(?:[|·–—\-:]\s*[^|·–—]{1,60})?\W{0,3}$"
-_START = r"(?:^|[.!?…]\s+|[|·–—:]\s)\W{0,3}(?:"
+_KNOWN = sorted({*MESSAGE_WORDS, *LOREM_WORDS, *(w for ws in FUNCTION_WORDS.values() for w in ws), *"re ve ll don doesn isn couldn can ne qu".split()})
+#: Syntax of programs that no prose has.
+_SYNTAX = r"^\W{0,3}(?:(?:java|javax|org|com|system|kotlin)\.\w+\.|sqlstate\[|traceback \(|(?:php )?(?:fatal error|warning|notice|deprecated): .*(?: in /| on line \d))"
+#: Where one part of a field ends and the next begins; a part may be led by a name and a colon.
+_PARTS = r"(?<=[.!?…。！？])\s+|\s+[|·–—-]\s+"
+_START = r"^(?:[^:\n]{1,40}:\s)?\W{0,3}(?:"
 
 
 def _let(value: Column, body) -> Column:
@@ -188,6 +216,14 @@ def readable(text: Column) -> Column:
     return F.trim(F.regexp_replace(shown, r"(?U)\s+", " "))
 
 
+def _filled(part: Column) -> Column:
+    """Whether a part that begins like a message holds (nearly) nothing else."""
+    words = F.filter(F.split(F.regexp_replace(part, r"(?<!\S)/\S+", " "), r"[^\p{L}\p{N}_]+"), lambda w: F.char_length(w) > 1)
+    strange = F.filter(words, lambda w: ~(w.isin(*_KNOWN) | w.rlike(r"\p{N}|(?:error|exception)$")))
+    japanese = part.rlike(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]")
+    return F.when(japanese, F.char_length(part) <= LONGEST_JAPANESE).otherwise(part.rlike(_SYNTAX) | (F.size(strange) <= STRANGE))
+
+
 def _judge(prose: Column) -> Column:
     """Whether a field in lower case, made readable, is residue."""
     suspicious = prose.rlike(r"[{}<>\[\]%$_@]")
@@ -204,11 +240,16 @@ def _judge(prose: Column) -> Column:
         most = (latin >= 4) & (latin + small >= 0.6 * F.size(words))
         return some & (most | ((latin >= 3) & (latin + small >= 0.9 * F.size(words))) | ((latin >= 4) & prose.rlike(_RUN)))
 
-    message = F.lit(False)
-    for i in range(0, len(OPENERS), 20):
-        message = message | prose.rlike(_START + _any(OPENERS[i : i + 20]) + ")")
+    def message(lines: Column) -> Column:
+        """One pattern search over all parts; the few fields with an opener are looked at part by part."""
+        some = F.lit(False)
+        for i in range(0, len(OPENERS), 20):
+            some = some | lines.rlike("(?m)" + _START + _any(OPENERS[i : i + 20]) + ")")
+        return some & F.exists(F.split(lines, "\n"), lambda x: F.when(x.rlike(_START + _any(OPENERS) + ")"), _filled(x)).otherwise(F.lit(False)))
+
+    lines = F.regexp_replace(prose, _PARTS, "\n")
     words = F.filter(F.split(prose, r"[^\p{L}]+"), lambda w: w != "")
-    return (suspicious & _let(rest, placeholder)) | prose.rlike(_WHOLE) | _let(words, filler) | message
+    return (suspicious & _let(rest, placeholder)) | prose.rlike(_WHOLE) | _let(words, filler) | _let(lines, message)
 
 
 def is_residue(text: Column) -> Column:

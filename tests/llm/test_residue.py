@@ -10,7 +10,7 @@ CASES = [
     "Dies ist ein Blindtext, der später ersetzt wird.", "Texto de relleno 4, sustituir antes de publicar.", "404 Not Found", "HTTP Status 1020 – Not Found", "Seite nicht gefunden – Shop", "Страница не найдена", "ページが見つかりません", "Página no encontrada",
     "Page introuvable | Shop", "Error 404 (Not Found) · Shop", "Error establishing a database connection", "Fatal error: Uncaught TypeError in /srv/www/1.php", "SQLSTATE[HY000] [2002] Connection refused", "Access denied", "503 Service Temporarily Unavailable",
     "Traceback (most recent call last): KeyError 4f", "undefined | Shop", "NaN results for undefined", "[object Object]", "null", "Just a moment...", "Please enable JavaScript to view this page.", "Bitte aktivieren Sie JavaScript in Ihrem Browser.",
-    "Activez JavaScript pour continuer", "Активируйте JavaScript в браузере.", "Checking if the connection is secure. Enable cookies and reload.", "Session expired – please log in again", "This domain is parked", "  PLEASE ENABLE JAVASCRIPT ", "Whoops, something went wrong",
+    "Activez JavaScript pour continuer", "Активируйте JavaScript в браузере.", "Checking if the connection is secure. Enable cookies and reload.", "Session expired – please log in again", "This domain is parked", "  PLEASE ENABLE JAVASCRIPT ", "Whoops, something went wrong", "Oops! That page can’t be found.", "Shop: Access denied",
 ]
 REAL = [
     None, "", "   ", "Curly braces { } in CSS explained by Mezedran", "Lorem, ipsum and type specimens: print shop", "JavaScript course for retirees in Bath, July 2021", "Room 404: a kettle at the museum", "Null Island maps and other prints",
@@ -19,6 +19,32 @@ REAL = [
     "Ann keeps 13 error messages and their copper sample cards.", "The Brisioran menu loads with JavaScript off, says Bath; code 15 is fine.", "Thé et café, 100 % bio", "word " * 5000, "Ein Test in fünf Größen", "Untitled no more: naming your paintings in nine steps",
 ]
 
+# Real texts about errors, scripts, templates and filler, in eight languages.
+ABOUT = [
+    "Page not found errors: how to find and fix them on large shops", "Something went wrong at the summit: a climber's memoir", "Fatal error: a novel by Jane Roe", "An error occurred in 1912: history of a shipwreck",
+    "JavaScript is required reading in this year's web development course", "Lorem ipsum: history of the printer's dummy text", "Access denied: twelve castles closed to visitors since 1950", "Session expired parking tickets and how to contest them",
+    "Just a moment of silence, a play in three acts by Ann Lee", "Please wait for the whistle: station stories from Bath", "404 not found: an exhibition of lost paintings", "Warning: undefined behaviour in C explained with examples",
+    "The page you requested does not exist, and other polite refusals in library letters", "Under construction: bridges of the Rhine valley", "Coming soon to the museum: copper kettles of the north", "Enable JavaScript debugging in your editor with six shortcuts",
+    "Your browser does not matter: choosing fonts for slow readers", "Verify you are human, a philosophical essay on trust", "Checking your browser history for travel ideas", "Too many requests for jam: how the bakery copes in August",
+    "Service unavailable on Sundays, says the ferry museum's old timetable", "Hello world: greetings from forty countries on enamel plates", "Enter your description of the bird in the notebook and draw its beak", "Syntax error: poems by a retired compiler engineer",
+    "Internal server error handling with retries for busy kitchens", "This domain is parked cars and petrol stations: photographs", "Error 404 magazine, issue twelve, with essays on missing maps",
+    "Seite nicht gefunden: Wie Bibliothekare verlorene Blätter suchen", "Fehler 404 verstehen und im eigenen Shop beheben", "JavaScript ist deaktiviert: Barrierefreie Seiten ohne Skripte gestalten", "Bitte warten im Museum: Geschichte der Warteräume in Wien", "Blindtext als Kunstform, eine Ausstellung in Graz",
+    "Dies ist ein Blindtext: Wie Setzer Probeseiten füllten", "Zugriff verweigert: ein Kriminalroman aus Bremen", "So verwenden Sie {{ name }} in einer Vorlage für Rechnungen", "Interner Serverfehler als Kurzgeschichte von Petra Maus",
+    "Page introuvable : enquête sur les manuscrits perdus de Lyon", "Erreur 404 expliquée aux libraires et aux lecteurs", "Activer JavaScript pas à pas dans un ancien navigateur de musée", "Accès refusé : les jardins secrets de Paris",
+    "Utiliser {{ nom }} dans un gabarit de lettre, le guide complet", "Texte de remplissage et typographie : petite histoire du plomb", "Un instant de calme au bord du lac, récit de voyage", "Nous n’avons pas pu trouver le trésor : journal d’un plongeur",
+    "Página no encontrada: relatos de archivos perdidos en Sevilla", "Acceso denegado: la muralla y sus puertas cerradas", "Cómo usar {{ nombre }} en una plantilla de correo", "Texto de relleno en la imprenta antigua de Toledo", "Un momento en la cocina de la abuela, recetas de otoño", "No se ha encontrado vida en Marte, dice el observatorio",
+    "Página não encontrada: crónicas de um bibliotecário de Lisboa", "Acesso negado: romance policial em três partes", "Ative o forno e prepare o pão em quarenta minutos", "Usar {{ nome }} num modelo de fatura, lição dois",
+    "Nie znaleziono strony tytułowej: zagadka starego atlasu", "Brak dostępu do morza, opowieść o kraju w górach", "Włącz obsługę pieca krok po kroku, poradnik dla piekarzy", "Jak użyć {{ imie }} w szablonie listu",
+    "Страница не найдена: рассказы о пропавших рукописях", "Доступ запрещён: прогулки по закрытым садам Москвы", "Ошибка сервера в ресторане и другие весёлые истории", "Как вставить {{ имя }} в шаблон письма",
+    "JavaScriptが必要な理由を学ぶ初心者向け講座", "ページが見つかりませんと言われた作家の回想録を読む会のご案内と日程", "エラーが発生しましたという題名の短編小説集とその作者について", "テンプレートで {{ 名前 }} を使う方法",
+]
+
+
+def test_texts_about_such_things_are_real(spark):
+    assert len(ABOUT) >= 60
+    df = spark.createDataFrame([(t,) for t in ABOUT], "t string")
+    assert [r["t"] for r in df.where(is_residue(F.col("t"))).collect()] == []
+
 
 def test_cases_and_real_texts(spark):
     df = spark.createDataFrame([(t,) for t in CASES + REAL], "t string")
@@ -44,6 +70,7 @@ def test_very_long_fields(spark):
 
 def test_length_is_no_limit(spark):
     yes = ["test " * 5000, "null " * 5000, "undefined " * 5000, "xxx " * 5000, "asdf " * 5000, "aaa bbb " * 5000, "xxx ---- xxx", "null ..... null", "[object Object] " * 400 + "| Shop", "xxx | Brand name", "aaa bbb ccc | brand name"]
+    yes += ["Access denied. " + "kettle " * 5000, "Please enable JavaScript to continue | " + "kettle " * 5000]
     yes += ["{{ " + "a " * 500 + "}} | Shop", "{% if " + "a " * 500 + "%}", "<% " + "a " * 500 + "%>", "<?php " + "a " * 500 + "?>", "[[ " + "a " * 500 + "]]", "${ " + "a " * 500 + "}"]
     no = ["test " * 5000 + "of a kettle", "null " * 5000 + "and a kettle", "<% " * 20000, "[[" * 20000, "{% a" * 20000, "aaa bbb"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(yes + no)], "i int, t string")
