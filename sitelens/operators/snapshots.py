@@ -172,7 +172,7 @@ def snapshot_changes(records: DataFrame, pairs: DataFrame, rounds: int = ROUNDS)
     (hash of its content), label string; one row per snapshot and rec.
     ``pairs``: pair (the later snapshot), earlier.
     change is ``added`` (label of the later snapshot), ``removed`` (label of the earlier
-    one) or ``changed`` (label of the later one).  A snapshot without an earlier one
+    one) or ``changed`` (label of the later one); a null label comes out as ''.  A snapshot without an earlier one
     gives no rows, and so does an empty table.
     """
     records = materialize(records, "snapshot-records")
@@ -205,17 +205,31 @@ def snapshot_changes(records: DataFrame, pairs: DataFrame, rounds: int = ROUNDS)
     differing = found[0]
     for more in found[1:]:
         differing = differing.unionByName(more)
-    both = differing.groupBy("pair", "rec").agg(
+    checked = materialize(_verified(differing, pairs, records), "snapshot-checked")
+    # A recovered pair that no record has tells of a wrong recovery: its bucket is compared in full.
+    wrong = materialize(checked.where("label is null").select("pair", "bucket").distinct(), "snapshot-wrong")
+    if not wrong.isEmpty():
+        exact = _by_full_join(items.join(wrong, ["pair", "bucket"], "left_semi"))
+        again = _verified(exact, pairs, records)
+        checked = materialize(checked.join(wrong, ["pair", "bucket"], "left_anti").unionByName(again), "snapshot-checked")
+        if not checked.where("label is null").isEmpty():
+            raise AssertionError("a difference of full snapshots has no record")
+    return checked.select("pair", "label", "change")
+
+
+def _verified(differing: DataFrame, pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """(pair, bucket, change, label): the changed records; label is null where no record of the snapshot has the key hash and digest."""
+    both = differing.groupBy("pair", "bucket", "rec").agg(
         F.max(F.when(F.col("sign") > 0, F.col("digest"))).alias("new"), F.max(F.when(F.col("sign") < 0, F.col("digest"))).alias("old")
     )
     both = both.join(pairs, "pair").select(
-        "pair", "rec",
+        "pair", "bucket", "rec",
         F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"),
         F.when(F.col("new").isNull(), F.col("earlier")).otherwise(F.col("pair")).alias("snapshot"),
         F.coalesce("new", "old").alias("digest"),
     )
-    # A recovered pair counts only if a record of that snapshot has this key hash and this digest.
-    return both.join(records, ["snapshot", "rec", "digest"]).select("pair", "label", "change")
+    known = records.select("snapshot", "rec", "digest", F.coalesce("label", F.lit("")).alias("label"))
+    return both.join(known, ["snapshot", "rec", "digest"], "left").select("pair", "bucket", "change", "label")
 
 
 def content_digest(codes: Column) -> Column:

@@ -41,6 +41,27 @@ def test_changes_equal_brute_force(spark):
     assert sorted(map(tuple, S.snapshot_changes(df, pairs, rounds=1).collect())) == want  # the exact way for what is left
 
 
+def test_wrong_recoveries_are_compared_in_full(spark, monkeypatch):
+    r = random.Random(6)
+    old = {r.getrandbits(62): 1 for _ in range(1200)}
+    new = {k: (2 if r.random() < 0.05 else v) for k, v in old.items() if r.random() < 0.97} | {r.getrandbits(62): 3 for _ in range(40)}
+    df, pairs = records(spark, {"old": old, "new": new}), spark.createDataFrame([("new", "old")], "pair string, earlier string")
+    peeler = S._peeler
+
+    def spoiling(level):
+        run = peeler(level)
+
+        def spoil(batches):
+            for t in run(batches):
+                t["digest"] = t["digest"] + (np.arange(len(t)) % 7 == 0)
+                yield t
+
+        return spoil
+
+    monkeypatch.setattr(S, "_peeler", spoiling)
+    assert sorted(map(tuple, S.snapshot_changes(df, pairs).collect())) == brute(old, new, "old", "new")
+
+
 def test_empty(spark):
     df, pairs = records(spark, {}), spark.createDataFrame([], "pair string, earlier string")
     assert S.snapshot_changes(df, pairs).count() == 0
