@@ -41,6 +41,48 @@ def stamped(issues: DataFrame, version: str = CATALOG_VERSION) -> DataFrame:
     return issues.withColumn("catalog_version", F.coalesce("catalog_version", F.lit(version)))
 
 
+def replace_page_issues(issues: DataFrame, pages: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Issues after the pages were written again: those of the written pages are replaced by ``fresh``."""
+    kept = issues.join(pages.select(c("id").alias("page_id")).distinct(), "page_id", "left_anti")
+    return kept.select(*issues.columns).unionByName(stamped(fresh).select(*issues.columns))
+
+
+def append_issues(pages: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The pages with their error and warning counters raised by the new issues; null counters count as 0."""
+    raised = fresh.groupBy(c("page_id").alias("id")).agg(F.count_if(c("severity") == "error").alias("__e"), F.count_if(c("severity") == "warning").alias("__w"))
+    more = lambda name, by: (F.coalesce(name, F.lit(0)) + F.coalesce(by, F.lit(0))).cast("int").alias(name)
+    t = pages.join(raised, "id", "left").withColumns({"error_count": more("error_count", "__e"), "warning_count": more("warning_count", "__w")})
+    return t.select(*pages.columns)
+
+
+#: Tables by the column that leads to their audit; issues lead there through their page.
+OWNED = {"audits": "id", "pages": "audit_id", "site_issues": "audit_id", "external_url_checks": "audit_id"}
+
+
+def without_audits(relations: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the audits in ``gone`` (id) and everything that belongs to them.
+
+    Rows whose audit or page is null belong to none and stay.
+    """
+    ids = gone.select("id").distinct()
+    out = {name: df.join(ids.withColumnRenamed("id", OWNED[name]), OWNED[name], "left_anti") for name, df in relations.items() if name in OWNED}
+    pages = relations["pages"].join(ids.withColumnRenamed("id", "audit_id"), "audit_id", "left_semi").select(c("id").alias("page_id")).distinct()
+    out["issues"] = relations["issues"].join(pages, "page_id", "left_anti")
+    return out
+
+
+def new_ids(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(id): ids that were not known the last time, each once; null ids are none."""
+    return rows.select("id").where("id is not null").distinct().join(known.select("id").distinct(), "id", "left_anti")
+
+
+def snapshot(overviews: DataFrame, audits: DataFrame, path: str) -> None:
+    """Store the overview of every completed audit as one JSON row, partitioned by audit; other audits' rows stay."""
+    done = audits.where("status = 'completed'").select(c("id").alias("audit_id"), c("completed_at").alias("generated_at"))
+    rows = overviews.join(done, "audit_id").select("audit_id", F.to_json(F.struct(*[n for n in overviews.columns if n != "audit_id"])).alias("overview"), "generated_at")
+    replace_audits(rows, path)
+
+
 def replace_audits(rows: DataFrame, path: str) -> None:
     """Write rows partitioned by audit; only the audits that occur in them are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("audit_id").parquet(path)

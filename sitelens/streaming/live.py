@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,7 +9,7 @@ from pyspark.sql.types import StructType
 from sitelens.functions.fingerprint import bands, hamming
 from sitelens.functions.urls import canonical_url
 from sitelens.operators.page_rules import FACTS, page_issues
-from sitelens.session import scratch_dir
+from sitelens.session import scratch_path
 
 c = F.col
 #: Rows a live view keeps per audit.
@@ -25,7 +23,7 @@ def arriving(spark: SparkSession, path: str, schema: StructType, files_per_batch
 
 def run_available(stream: DataFrame, each_batch, checkpoint: str | None = None, mode: str = "append") -> None:
     """Process what has arrived since the checkpoint, batch by batch, and stop."""
-    where = checkpoint or f"{scratch_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    where = checkpoint or scratch_path(stream.sparkSession, "stream")
     query = stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", where).trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -61,44 +59,73 @@ def newest(rows: DataFrame, size: int = BUFFER) -> DataFrame:
     return one.withColumn("__k", F.row_number().over(recent)).where(c("__k") <= size).drop("__k")
 
 
+def _batches(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the batches whose results lie complete under the folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        return []
+    done = [f.getPath() for f in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(x.getName().removeprefix("batch-")) for x in done)
+
+
 class Live:
-    """A live page view kept in the shared folder: every batch is merged with what is there."""
+    """A live page view kept in the shared folder: every batch is merged with the view before it.
 
-    def __init__(self, spark: SparkSession, size: int = BUFFER) -> None:
-        self.spark, self.size, self.path = spark, size, None
+    The view of each batch lies under the batch's number, so a batch that is repeated
+    writes the same view again, and a view started anew on the same folder (``root``,
+    with the stream's checkpoint beside it) goes on where the last one stopped.
+    """
 
-    def merge(self, batch: DataFrame, _: int) -> None:
-        rows = batch if self.path is None else batch.unionByName(self.spark.read.parquet(self.path))
-        to = f"{scratch_dir(self.spark)}/live-{uuid.uuid4().hex}"
-        newest(rows, self.size).write.parquet(to)
-        self.path = to
+    def __init__(self, spark: SparkSession, size: int = BUFFER, root: str | None = None) -> None:
+        self.spark, self.size, self.root = spark, size, root or scratch_path(spark, "live")
+
+    def _view(self, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/batch-{number}")
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        before = [n for n in _batches(self.spark, self.root) if n < number]
+        rows = batch.unionByName(self._view(before[-1])) if before else batch
+        newest(rows, self.size).write.mode("overwrite").parquet(f"{self.root}/batch-{number}")
 
     def rows(self) -> DataFrame:
-        if self.path is None:
+        done = _batches(self.spark, self.root)
+        if not done:
             raise ValueError("no batch has arrived")
-        return self.spark.read.parquet(self.path)
+        return self._view(done[-1])
 
 
 class DuplicateWatch:
-    """Marks arriving pages that nearly repeat an earlier one of their audit.
+    """Marks arriving pages that repeat an earlier one of their audit, exactly or nearly.
 
-    The history holds (audit_id, id, sim_hash) by hash band; a batch joins it by
-    equality on the band, so the work follows the number of candidates.
+    The history holds (audit_id, id, hashes) by hash band and by exact hash; a batch
+    joins it by equality on them, so the work follows the number of candidates.  Both
+    history and marks are written per batch number: a repeated batch replaces its own.
+    Pages without hashes are not compared.
     """
 
-    def __init__(self, spark: SparkSession, distance: int = 3) -> None:
+    def __init__(self, spark: SparkSession, distance: int = 3, root: str | None = None) -> None:
         self.spark, self.distance = spark, distance
-        self.history = f"{scratch_dir(spark)}/seen-{uuid.uuid4().hex}"
-        self.found = f"{scratch_dir(spark)}/repeats-{uuid.uuid4().hex}"
+        root = root or scratch_path(spark, "duplicates")
+        self.history, self.found = f"{root}/seen", f"{root}/found"
 
     def check(self, batch: DataFrame, number: int) -> None:
-        keyed = batch.where("sim_hash is not null").select("audit_id", "id", "sim_hash", F.struct("crawled_at", "id").alias("seq"), F.explode(bands(c("sim_hash"), self.distance // 2 + 1)).alias("band"))
-        keyed.write.mode("append").parquet(self.history)
-        seen = self.spark.read.schema(keyed.schema).parquet(self.history)
+        near = F.transform(bands(c("sim_hash"), self.distance // 2 + 1), lambda b: F.concat_ws(":", b["part"], b["bits"]))
+        keys = F.concat(F.coalesce(near, F.array().cast("array<string>")), F.array(F.concat(F.lit("="), "exact_hash")))
+        hashed = batch if "exact_hash" in batch.columns else batch.withColumn("exact_hash", F.lit(None).cast("string"))
+        keyed = hashed.select("audit_id", "id", "sim_hash", "exact_hash", F.struct("crawled_at", "id").alias("seq"), F.explode(keys).alias("key")).where("key is not null")
+        keyed.write.mode("overwrite").parquet(f"{self.history}/batch-{number}")
+        seen = self.spark.read.schema(keyed.schema).parquet(*[f"{self.history}/batch-{n}" for n in _batches(self.spark, self.history) if n <= number])
         a, b = keyed.alias("a"), seen.alias("b")
-        same = (c("a.audit_id") == c("b.audit_id")) & (c("a.band") == c("b.band")) & (c("b.seq") < c("a.seq"))
-        hits = a.join(b, same).where(hamming(c("a.sim_hash"), c("b.sim_hash")) <= self.distance)
-        hits.select(c("a.audit_id").alias("audit_id"), c("a.id").alias("id")).distinct().write.mode("append").parquet(self.found)
+        hits = a.join(b, (c("a.audit_id") == c("b.audit_id")) & (c("a.key") == c("b.key")) & (c("b.seq") < c("a.seq")) & (c("a.id") != c("b.id")))
+        exact = c("a.key").startswith("=")
+        hits = hits.where(exact | (hamming(c("a.sim_hash"), c("b.sim_hash")) <= self.distance))
+        hits.groupBy(c("a.audit_id").alias("audit_id"), c("a.id").alias("id")).agg(F.max(exact).alias("exact")).write.mode("overwrite").parquet(f"{self.found}/batch-{number}")
+
+    def marks(self) -> DataFrame:
+        """(audit_id, id, exact): the pages marked so far."""
+        return self.spark.read.parquet(*[f"{self.found}/batch-{n}" for n in _batches(self.spark, self.found)]).distinct()
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -109,14 +136,14 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Running counters after everything has arrived; repeated deliveries count once."""
-    to = f"{scratch_dir(spark)}/statistics-{uuid.uuid4().hex}"
+    to = scratch_path(spark, "statistics")
     run_available(running_statistics(once(_stream(spark, d).select("id", "audit_id", "status_code", "crawled_at"))), lambda b, _: b.write.mode("overwrite").parquet(to), mode="complete")
     return spark.read.parquet(to).select("audit_id", "crawled", "failed")
 
 
 def stream_page_issues(spark: SparkSession, d: str) -> DataFrame:
     """Issues raised page by page on arrival, counted by rule."""
-    to = f"{scratch_dir(spark)}/arrived-{uuid.uuid4().hex}"
+    to = scratch_path(spark, "arrived")
     pages = once(_stream(spark, d).select("id", "audit_id", *FACTS))
     run_available(issues_on_arrival(pages), lambda b, _: b.write.mode("append").parquet(to))
     return spark.read.parquet(to).groupBy("code").agg(F.count(F.lit(1)).alias("n_issues"), F.countDistinct("page_id").alias("n_pages"))
@@ -124,7 +151,7 @@ def stream_page_issues(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_discovered(spark: SparkSession, d: str) -> DataFrame:
     """Internal link targets in the order they turn up, each canonical URL of an audit once."""
-    to = f"{scratch_dir(spark)}/discovered-{uuid.uuid4().hex}"
+    to = scratch_path(spark, "discovered")
     run_available(discovered_once(_stream(spark, d).select("audit_id", "links")), lambda b, _: b.write.mode("append").parquet(to))
     return spark.read.parquet(to)
 

@@ -116,6 +116,22 @@ def test_sinks(spark, tmp_path):
     assert sorted((r["audit_id"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2)]
 
 
+def test_writes_of_issues_and_audits(spark, tmp_path):
+    pages = spark.createDataFrame([("p", "a", 1, None), ("q", "b", 0, 2)], "id string, audit_id string, error_count int, warning_count int")
+    issues = spark.createDataFrame([("1", "p", "error", "c", None), ("2", "q", "warning", "d", "v")], "id string, page_id string, severity string, code string, catalog_version string")
+    fresh = spark.createDataFrame([("3", "p", "error", "x", None), ("4", "p", "warning", "y", None)], issues.schema)
+    assert sorted(map(tuple, tables.append_issues(pages, fresh).collect())) == [("p", "a", 2, 1), ("q", "b", 0, 2)]
+    assert sorted((r["id"], r["catalog_version"]) for r in tables.replace_page_issues(issues, pages.where("id = 'p'"), fresh).collect()) == [("2", "v"), ("3", tables.CATALOG_VERSION), ("4", tables.CATALOG_VERSION)]
+    audits = spark.createDataFrame([("a", "completed", T0), ("b", "running", None)], "id string, status string, completed_at timestamp")
+    other = spark.createDataFrame([("a", 1), (None, 2)], "audit_id string, n int")
+    left = tables.without_audits({"audits": audits, "pages": pages, "issues": issues, "site_issues": other, "external_url_checks": other}, audits.where("id = 'a'"))
+    assert {k: v.count() for k, v in left.items()} == {"audits": 1, "pages": 1, "issues": 1, "site_issues": 1, "external_url_checks": 1}
+    assert [r["id"] for r in tables.new_ids(pages, pages.where("id = 'p'")).collect()] == ["q"]
+    for _ in range(2):
+        tables.snapshot(pages.groupBy("audit_id").count(), audits, str(tmp_path / "s"))
+    assert [(r["audit_id"], r["overview"]) for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [("a", '{"count":1}')]
+
+
 def test_streams(spark, tmp_path):
     schema = "id string, audit_id string, status_code int, crawled_at timestamp, sim_hash long"
     path = str(tmp_path / "in")
@@ -129,7 +145,19 @@ def test_streams(spark, tmp_path):
     live.run_available(stream, view.merge)
     assert sorted(r["id"] for r in view.rows().collect()) == ["2", "3"]
     live.run_available(live.once(stream), watch.check)
-    assert [r["id"] for r in spark.read.parquet(watch.found).collect()] == ["3"]
+    assert [tuple(r) for r in watch.marks().collect()] == [("a", "3", False)]
+    root, check = str(tmp_path / "view"), str(tmp_path / "view-checkpoint")
+    for _ in range(2):  # started again, the view goes on; a batch that is repeated changes nothing
+        again = live.Live(spark, size=2, root=root)
+        live.run_available(stream, again.merge, check)
+    again.merge(spark.read.parquet(path).where("id = '3'"), 1)
+    assert sorted(r["id"] for r in live.Live(spark, root=root).rows().collect()) == ["2", "3"]
+    hashed = lambda *rows: spark.createDataFrame([(i, "a", day(n), None, x) for i, n, x in rows], "id string, audit_id string, crawled_at timestamp, sim_hash long, exact_hash string")
+    watch = live.DuplicateWatch(spark)
+    watch.check(hashed(("1", 0, "h"), ("2", 1, None)), 0)
+    for _ in range(2):
+        watch.check(hashed(("3", 2, "h"), ("4", 3, None)), 1)
+    assert [tuple(r) for r in watch.marks().collect()] == [("a", "3", True)]
     seen = []
     check = str(tmp_path / "cp")
     live.run_available(stream, lambda b, _: seen.append(b.count()), check)
