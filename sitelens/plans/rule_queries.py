@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators import site_rules
-from sitelens.operators.page_rules import FACTS, LANGUAGE_CODES, page_issues, page_rules
+from sitelens.operators.page_rules import FACTS, LANGUAGE_CODES, judged, page_issues, page_rules
 from sitelens.session import table
 from sitelens.sources import relations
 
@@ -113,9 +113,11 @@ def _rule(code: str):
 
 def rules_all(spark: SparkSession, d: str) -> DataFrame:
     """Issues of all page rules in one pass: (code, category, severity, weight, n_issues, n_pages)."""
-    found = page_issues(_facts(spark, d), repeated=True).groupBy("code").agg(
-        F.count(F.lit(1)).alias("n_issues"), F.countDistinct("page_id").alias("n_pages")
-    )
+    pages = judged(_facts(spark, d)).select("page_id", F.transform("issues", lambda x: x["code"]).alias("codes")).where(F.size("codes") > 0)
+    pages = pages.dropDuplicates(["page_id"])
+    per_page = pages.select("codes", F.explode(F.array_distinct("codes")).alias("code"))
+    per_page = per_page.select("code", F.size(F.filter("codes", lambda x: x == F.col("code"))).alias("n"))
+    found = per_page.groupBy("code").agg(F.sum("n").alias("n_issues"), F.count(F.lit(1)).alias("n_pages"))
     return relations.catalog(spark, d).join(found, "code").select("code", "category", "severity", "weight", "n_issues", "n_pages")
 
 
