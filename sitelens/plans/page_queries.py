@@ -79,13 +79,17 @@ def page_list(pages: DataFrame, tab_name: str = "all", search: str | None = None
     return pages.where(wanted(tab_name, search, since)).withColumn("is_indexable", listed_indexable())
 
 
+def sort_order(sort: str, direction: str) -> list[Column]:
+    key = F.expr(SORTS.get(sort, SORTS["crawledAt"]))
+    return [key.desc_nulls_last() if direction == "desc" else key.asc_nulls_first(), c("id").asc()]
+
+
 def sorted_pages(pages: DataFrame, sort: str = "crawledAt", direction: str = "asc", limit: int | None = None, offset: int = 0) -> DataFrame:
     """Pages by a sortable field, unknown fields by crawl time; nulls first ascending, last descending; ties by id.
 
     Without a limit the offset is ignored; a negative offset counts as 0.
     """
-    key = F.expr(SORTS.get(sort, SORTS["crawledAt"]))
-    out = pages.orderBy(key.desc_nulls_last() if direction == "desc" else key.asc_nulls_first(), c("id").asc())
+    out = pages.orderBy(*sort_order(sort, direction))
     return out if limit is None else out.offset(max(0, offset)).limit(limit)
 
 
@@ -182,12 +186,14 @@ def page_total(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("audit_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(c("crawled_at") > F.lit("2026-03-01 00:00:00").cast("timestamp")).alias("delta"))
 
 
-def _sort_query(field: str, direction: str):
+def _sort_query(field: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        need = ("h1s",) if field == "h1Count" else (SORTS[field],)
-        return sorted_pages(relations.pages(spark, d, "url", *[n for n in need if n != "url"]), field, direction, limit=100).select("id", "url")
+        column = "h1s" if field == "h1Count" else SORTS[field]
+        pages = relations.pages(spark, d, *([] if column == "id" else [column]))
+        place = lambda direction: F.row_number().over(Window.partitionBy("audit_id").orderBy(*sort_order(field, direction)))
+        return pages.select("audit_id", "id", place("asc").alias("ascending"), place("desc").alias("descending"))
 
-    run.__doc__ = f"The first 100 pages by {field}, {direction}."
+    run.__doc__ = f"The place of every page of an audit by {field}, in either direction."
     return run
 
 
@@ -270,7 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_counts": page_counts, "page_total": page_total, "page_paged": page_paged, "link_summary": link_summary, "link_summary_json": link_summary_json,
     "link_facts": link_facts, "link_split": link_split, "external_refs": external_refs, "external_links": external_links,
     "pages_with_externals": pages_with_externals, "ui_tab_counts": ui_tab_counts,
-    **{f"page_sort_{f}": _sort_query(f, "desc" if i % 2 else "asc") for i, f in enumerate(SORTS)},
+    **{f"page_sort_{f}": _sort_query(f) for f in SORTS},
 }
 
 _IDX = "coalesce(status_code between 200 and 299 and not noindex and canonical_status <> 'other', false) as is_indexable"
@@ -313,5 +319,9 @@ SQL = {k: BASE + v for k, v in {
         select audit_id, ext as external, count(*) as n, count(*) filter (status_code between 300 and 399) as redirects, count(*) filter (status_code >= 400 or status_code = 0) as errors from e group by all""",
     "ui_tab_counts": """, pc as (select audit_id, count(*) as n from p group by 1), xc as (select audit_id, count(*) as n, count(distinct url) as u from x group by 1)
         select pc.audit_id, pc.n + coalesce(xc.n, 0) as n_all, coalesce(xc.u, 0) as n_external from pc left join xc using (audit_id)""",
-    **{f"page_sort_{f}": f"select id, url from p order by {col.replace('size(', 'len(')} {'desc nulls last' if i % 2 else 'asc nulls first'}, id limit 100" for i, (f, col) in enumerate(SORTS.items())},
+    **{
+        f"page_sort_{f}": f"""select audit_id, id, row_number() over (partition by audit_id order by {col.replace('size(', 'len(')} asc nulls first, id) as ascending,
+        row_number() over (partition by audit_id order by {col.replace('size(', 'len(')} desc nulls last, id) as descending from p"""
+        for f, col in SORTS.items()
+    },
 }.items()}
