@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from sitelens.session import materialize
 
 CAPACITY, WINDOWS, DEPTH = 2048, 128, 3
-#: Slices in which items of one length are numbered independently.
-SALTS = 128
+#: Items of one length that are numbered in one task; their number gives the number of slices.
+SLICE_ITEMS = 500_000
 
 
 @lru_cache(maxsize=8)
@@ -178,13 +178,15 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
     parts = sizes.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"))
     parts = parts.select("doc_id", "part", F.least(F.lit(capacity), F.col("n_tokens") - F.col("part") * capacity).cast("int").alias("size"))
-    items = materialize(parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int")), "pack-items")
+    items = materialize(parts, "pack-items")
+    # At most one row per length up to the capacity.
+    counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = 1 + max(counts.values(), default=0) // SLICE_ITEMS
+    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int"))
     slices = items.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # At most one row per length up to the capacity.
-    histogram = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("size > 0").collect()}
-    runs, _ = plan(histogram, capacity)
+    runs, _ = plan({size: n for size, n in counts.items() if size > 0}, capacity)
     within = Window.partitionBy("size", "salt").orderBy("doc_id", "part")
     ranked = items.withColumn("k", F.row_number().over(within)).join(slices.select("size", "salt", "base"), ["size", "salt"])
     ranked = ranked.select("doc_id", "part", "size", (F.col("base") + F.col("k") - 1).alias("rank"))

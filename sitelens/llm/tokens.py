@@ -29,6 +29,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A block ends when it has so many units (characters or ids); a longer document is a block of its own.
 BLOCK_UNITS = 1_000_000
+#: Fewest blocks a word must occur in for its ids to be broadcast.
+LEAST_BLOCKS = 64
 _BLOCKS = "block bigint, doc_id bigint, slots array<int>, slot int, word {word}"
 
 
@@ -99,7 +101,7 @@ def _encoder(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoding(path)
         for t in batches:
-            yield pd.DataFrame({"word": t["word"], "ids": enc.encode_ordinary_batch(t["word"].tolist(), num_threads=1)})
+            yield pd.DataFrame({"word": t["word"], "n": t["n"], "ids": enc.encode_ordinary_batch(t["word"].tolist(), num_threads=1)})
 
     return run
 
@@ -137,10 +139,19 @@ def _assemble_text(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
 
 
 def _encoded(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Documents by block, and (block, slot, ids): each distinct word of the corpus encoded once."""
+    """Documents by block, and (block, slot, ids): each distinct word of the corpus encoded once.
+
+    A word that occurs in a tenth of all blocks or more would bring that many rows to
+    one task.  There are at most ten times as many such words as a block has on average
+    (``BLOCK_UNITS`` bounds it), so their ids are broadcast; all others meet by a shuffle.
+    """
     docs, words = _blocks(documents.select("doc_id", F.col("text").alias("content")), "string", _words, len)
-    once = words.select("word").distinct().mapInPandas(_encoder(path), "word string, ids array<int>")
-    return docs, words.join(once, "word").select("block", "slot", "ids")
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    once = materialize(counted.mapInPandas(_encoder(path), "word string, n bigint, ids array<int>"), "token-words")
+    common = F.col("n") >= max(LEAST_BLOCKS, docs.select("block").distinct().count() / 10)
+    hot, rest = F.broadcast(once.where(common).select("word", "ids")), once.where(~common).select("word", "ids")
+    met = words.join(hot.select("word"), "word", "left_anti").join(rest, "word").unionByName(words.join(hot, "word"))
+    return docs, met.select("block", "slot", "ids")
 
 
 def _gather(docs: DataFrame, values: DataFrame, function, schema: str) -> DataFrame:

@@ -18,6 +18,8 @@ def test_ids_equal_plain_encoding(frame, monkeypatch):
     want = {i: plain(t) for i, t in enumerate([*TEXTS, "one"])}
     assert {r["doc_id"]: r["ids"] for r in tokens.encode(frame).collect()} == want
     assert {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(frame).collect()} == {i: len(x) for i, x in want.items()}
+    monkeypatch.setattr(tokens, "LEAST_BLOCKS", 1)  # every word is a common one
+    assert {r["doc_id"]: r["ids"] for r in tokens.encode(frame).collect()} == want
 
 
 def test_round_trip(frame, docs):
